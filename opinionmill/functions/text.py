@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 from functools import lru_cache
 
 from pyspark.sql import Column, functions as F
@@ -74,41 +75,52 @@ def _accent_tables() -> tuple[str, str, dict[str, str]]:
 
 def fold_accents(value: Column | str) -> Column:
     """Strip accents by compatibility decomposition, for every letter of the basic plane."""
+    value = _col(value)
     source, target, expanding = _accent_tables()
-    folded = F.regexp_replace(F.translate(_col(value), source, target), r"\p{Mn}+", "")
-    spelled_out = folded
+    spelled_out = value
     for char, plain in expanding.items():
         spelled_out = F.replace(spelled_out, F.lit(char), F.lit(plain))
     ligatures = "[" + "".join(expanding) + "]"
-    return F.when(folded.rlike(ligatures), spelled_out).otherwise(folded)
+    single = F.when(value.rlike(ligatures), spelled_out).otherwise(value)
+    return F.regexp_replace(F.translate(single, source, target), r"\p{Mn}+", "")
 
 
 def word_tokens(value: Column | str, fold: bool = True) -> Column:
     """Lower-cased runs of two or more word characters, accents folded unless told not to."""
     lowered = F.lower(F.coalesce(_col(value), F.lit("")))
-    # The class tests run on the folded string; plain ASCII text skips the folding.
+    # Plain ASCII text skips the folding.
     prepared = F.when(lowered.rlike(r"[^\x00-\x7F]"), fold_accents(lowered)).otherwise(lowered) if fold else lowered
     return F.regexp_extract_all(prepared, F.lit(WORD_PATTERN), F.lit(0))
 
 
+def bind(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Evaluate ``value`` once and use it several times in ``body``.
+
+    A column expression named twice is computed twice, and one named inside a lambda is computed
+    for every element; a lambda variable is not.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def ngrams(tokens: Column | str, low: int = 1, high: int = 2) -> Column:
     """All runs of ``low`` to ``high`` neighbouring tokens, joined by one blank."""
     if not 1 <= low <= high:
         raise ValueError("need 1 <= low <= high")
-    tokens = _col(tokens)
-    size = F.size(tokens)
 
-    def runs(n: int) -> Column:
+    def runs(words: Column, n: int) -> Column:
         if n == 1:
-            return tokens
-        starts = F.when(size >= n, F.slice(tokens, F.lit(1), size - (n - 1)))
-        starts = F.coalesce(starts, F.array().cast("array<string>"))
-        return F.transform(
-            starts, lambda word, i: F.concat_ws(" ", word, *[F.get(tokens, i + step) for step in range(1, n)])
-        )
-
-    parts = [runs(n) for n in range(low, high + 1)]
-    return parts[0] if len(parts) == 1 else F.concat(*parts)
+            return words
+        length = F.greatest(F.size(words) - (n - 1), F.lit(0))
+        joined = F.slice(words, F.lit(1), length)
+        for step in range(1, n):
+            joined = F.zip_with(joined, F.slice(words, F.lit(step + 1), length), lambda a, b: F.concat(a, F.lit(" "), b))
+        return joined
+
+    def all_runs(words: Column) -> Column:
+        parts = [runs(words, n) for n in range(low, high + 1)]
+        return parts[0] if len(parts) == 1 else F.concat(*parts)
+
+    return bind(_col(tokens), all_runs)
 
 
 def truncate_tokens(tokens: Column | str, length: int = 192, pad: str | None = None) -> Column:
