@@ -13,7 +13,7 @@ from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from opinionmill.functions.text import ngrams, whitespace_tokens, word_tokens
-from opinionmill.operators.relational import MAX_BROADCAST_ROWS, lookup_join, number_rows, sorted_table
+from opinionmill.operators.relational import MAX_BROADCAST_ROWS, by_key, lookup_join, number_rows, sorted_table
 from opinionmill.session import SEED, checkpoint
 
 
@@ -63,7 +63,7 @@ def vocabulary_stats(vocab: DataFrame) -> DataFrame:
 def term_counts(df: DataFrame, terms: Column, key: str = "doc_id") -> DataFrame:
     """``(doc_id, term, tf)``. The text is partitioned by document once; counting, norms and
     vector assembly then need no further shuffle."""
-    placed = df.select(key, terms.alias("_terms")).repartition(key)
+    placed = by_key(df.select(key, terms.alias("_terms")), key)
     exploded = placed.select(key, F.explode("_terms").alias("term"))
     return exploded.groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
 

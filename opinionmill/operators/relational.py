@@ -27,6 +27,12 @@ def as_small(df: DataFrame, max_rows: int = MAX_LOCAL_ROWS) -> DataFrame | None:
     return df.sparkSession.createDataFrame(table, schema=df.schema)
 
 
+def by_key(df: DataFrame, key: str) -> DataFrame:
+    """Partition by ``key`` so that later steps per key need no shuffle. The partition number is
+    the session's own: rows that are about to be exploded must not be packed by their size now."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+
+
 def lookup_join(
     big: DataFrame,
     lookup: DataFrame,

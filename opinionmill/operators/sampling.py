@@ -38,7 +38,7 @@ def _prefix_counts(df: DataFrame, strata: list[str], seed: int, key: str) -> Dat
 
 
 def _class_sizes(counts: DataFrame, strata: list[str]) -> DataFrame:
-    return counts.groupBy(*strata).agg(F.sum("_n").alias("_size"))
+    return _settled(counts.groupBy(*strata).agg(F.sum("_n").alias("_size")))
 
 
 def _quota(sizes: DataFrame, strata: list[str], n: int, total: int, size: str, name: str) -> DataFrame:
@@ -158,7 +158,7 @@ def stratified_split(
     _check(total - held, total, classes, smallest)
     tested = math.ceil(test / (val + test) * held)
     ranks = _quota(sizes, strata, total - held, total, "_size", "train")
-    ranks = ranks.withColumn("_held", F.col("_size") - F.col("train"))
+    ranks = _settled(ranks.withColumn("_held", F.col("_size") - F.col("train")))
     least_held = ranks.agg(F.min("_held")).first()[0]
     _check(held - tested, held, classes, least_held)
     ranks = _quota(ranks, strata, held - tested, held, "_held", "_val")

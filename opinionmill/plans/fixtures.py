@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from opinionmill.operators.cleaning import drop_incomplete, with_review
 from opinionmill.plans.stages import CATEGORIES
+from opinionmill.sources.tables import read_table
 
 TOXIC = ("trash", "scum", "clown", "idiot", "worthless", "moron", "pathetic", "loser", "stupid", "disgusting")
 VALENCE = [(w, -2.0 - 0.1 * i) for i, w in enumerate(TOXIC)] + [
@@ -50,13 +51,13 @@ SEEDS = [
 ]
 
 
-def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+def load(spark: SparkSession, sf_dir: str, name: str, spread_by: str | None = None) -> DataFrame:
+    return read_table(spark, f"{sf_dir.rstrip('/')}/{name}.parquet", spread_by)
 
 
 def reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents with the polarity of the labelled ones (1 toxic, 2 not); one source has no title."""
-    docs = load(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    docs = load(spark, sf_dir, "documents", "doc_id").select("doc_id", "text", "lang", "source")
     labels = load(spark, sf_dir, "labels").select("doc_id", "toxic")
     polarity = F.when(F.col("toxic") == 1, 1).when(F.col("toxic") == 0, 2).cast("long")
     return docs.join(labels, "doc_id", "left").select(
@@ -75,7 +76,7 @@ def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def web_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = load(spark, sf_dir, "pages")
+    pages = load(spark, sf_dir, "pages", "page_id")
     return pages.select(F.col("page_id").alias("doc_id"), F.concat_ws(" ", "url", "html").alias("text"))
 
 

@@ -18,8 +18,14 @@ def write_table(df: DataFrame, path: str, partition_by: Sequence[str] | str | No
     return path
 
 
-def read_table(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+def read_table(spark: SparkSession, path: str, spread_by: str | None = None) -> DataFrame:
+    """A stored table. With ``spread_by`` a table too small to give every core a scan task is
+    repartitioned by that key; a large one is left as it lies."""
+    table = spark.read.parquet(path)
+    cores = spark.sparkContext.defaultParallelism
+    if spread_by and table.rdd.getNumPartitions() < cores:
+        return table.repartition(cores, spread_by)
+    return table
 
 
 def write_splits(df: DataFrame, path: str) -> str:
