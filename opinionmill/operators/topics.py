@@ -29,8 +29,9 @@ def reduce_dims(vectors: DataFrame, k: int = 5, key: str = "doc_id", vector: str
 
 
 def renumber_by_size(assigned: DataFrame, min_size: int = 1, key: str = "doc_id", cluster: str = "cluster") -> DataFrame:
-    """``(doc_id, topic)``: clusters numbered from 0 by falling size; small ones become noise."""
-    sizes = assigned.where(F.col(cluster) != NOISE).groupBy(cluster).agg(
+    """``(doc_id, topic)``: clusters numbered from 0 by falling size; small ones and rows without
+    a cluster (null) become noise."""
+    sizes = assigned.where(F.col(cluster).isNotNull()).groupBy(cluster).agg(
         F.count(F.lit(1)).alias("_n"), F.min(key).alias("_first")
     )
     # One row per cluster of at least min_size documents.
@@ -64,7 +65,7 @@ def cluster(
         gap = F.zip_with(vector_to_array("_v"), F.get(centres, F.col("cluster")), lambda a, b: (a - b) * (a - b))
         assigned = assigned.withColumn("_far", F.aggregate(gap, F.lit(0.0), lambda s, x: s + x))
         limit = assigned.agg(F.percentile_approx("_far", noise_quantile, 10_000)).first()[0]
-        assigned = assigned.withColumn("cluster", F.when(F.col("_far") <= limit, F.col("cluster")).otherwise(NOISE))
+        assigned = assigned.withColumn("cluster", F.when(F.col("_far") <= limit, F.col("cluster")))
     return renumber_by_size(assigned.select(key, "cluster"), min_size, key)
 
 
@@ -122,7 +123,7 @@ def density(
     components = connected_components(edges, nodes.select("node"))
     named = placed.select(key, name.alias("node"))
     assigned = lookup_join(named, components.select("node", F.col("component").alias("cluster")), "node", "left")
-    return renumber_by_size(assigned.select(key, F.coalesce("cluster", F.lit("-1")).alias("cluster")), min_size, key)
+    return renumber_by_size(assigned.select(key, "cluster"), min_size, key)
 
 
 def centroids(vectors: DataFrame, topics: DataFrame, key: str = "doc_id", vector: str = "embedding") -> DataFrame:

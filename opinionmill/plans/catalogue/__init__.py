@@ -1,9 +1,13 @@
 """One query per operator over the driver's tables, with the equivalent SQL where there is one."""
 
-import importlib
-
-for _m in ("preparing","featuring","scoring","evaluating","modelling","topicking"):
-    try:
-        importlib.import_module(f"opinionmill.plans.catalogue.{_m}")
-    except ModuleNotFoundError: pass
+from opinionmill.plans.catalogue import (  # noqa: F401
+    evaluating,
+    featuring,
+    modelling,
+    preparing,
+    scoring,
+    topicking,
+)
 from opinionmill.plans.catalogue.registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
