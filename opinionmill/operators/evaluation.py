@@ -7,7 +7,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from opinionmill.operators.relational import as_small, lookup_join, top_k_per_group
+from opinionmill.operators.relational import lookup_join, settled, top_k_per_group
 
 AUC_EDGES = 256
 
@@ -85,8 +85,8 @@ def roc_auc(pred: DataFrame, by: Sequence[str] | str | None = "model", label: st
     )
     steps = [i / AUC_EDGES for i in range(1, AUC_EDGES)]
     edges = distinct.groupBy(*by_cols).agg(F.array_distinct(F.percentile_approx("_s", F.lit(steps), 2_000)).alias("_edges"))
-    local = as_small(edges)
-    placed = lookup_join(distinct, edges if local is None else local, by_cols, "inner")
+    edges, small = settled(edges)
+    placed = lookup_join(distinct, edges, by_cols, "inner", small=small)
     placed = placed.withColumn("_bucket", F.size(F.filter("_edges", lambda e: e < F.col("_s")))).drop("_edges")
     inside = Window.partitionBy(*by_cols, "_bucket").orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
     # Pairs won inside the bucket, to be completed by the negatives of lower buckets.

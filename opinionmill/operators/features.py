@@ -13,7 +13,7 @@ from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from opinionmill.functions.text import ngrams, whitespace_tokens, word_tokens
-from opinionmill.operators.relational import MAX_BROADCAST_ROWS, by_key, lookup_join, number_rows, sorted_table
+from opinionmill.operators.relational import MAX_BROADCAST_ROWS, by_key, exploded, lookup_join, number_rows, sorted_table
 from opinionmill.session import SEED, checkpoint
 
 
@@ -28,8 +28,8 @@ def document_frequency(df: DataFrame, terms: Column, min_df: int = 1) -> tuple[D
     Duplicates are dropped inside each row, so only partial counts per term are shuffled. A
     null term stands for the document itself, which gives the document count in the same pass.
     """
-    marked = df.select(F.concat(F.array_distinct(terms), F.array(F.lit(None).cast("string"))).alias("_terms"))
-    counted = marked.select(F.explode("_terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    marked = F.concat(F.array_distinct(terms), F.array(F.lit(None).cast("string")))
+    counted = df.select(F.explode_outer(marked).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     stored = sorted_table(counted.where((F.col("df") >= min_df) | F.col("term").isNull()), "term")
     row = stored.where(F.col("term").isNull()).first()
     return stored.where(F.col("term").isNotNull()), int(row["df"]) if row else 0
@@ -64,8 +64,7 @@ def term_counts(df: DataFrame, terms: Column, key: str = "doc_id") -> DataFrame:
     """``(doc_id, term, tf)``. The text is partitioned by document once; counting, norms and
     vector assembly then need no further shuffle."""
     placed = by_key(df.select(key, terms.alias("_terms")), key)
-    exploded = placed.select(key, F.explode("_terms").alias("term"))
-    return exploded.groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
+    return exploded(placed, [key], "_terms", "term").groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def tfidf(

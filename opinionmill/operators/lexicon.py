@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from opinionmill.functions.text import count_char, whitespace_tokens, word_count
-from opinionmill.operators.relational import as_small, lookup_join
+from opinionmill.operators.relational import exploded, lookup_join, settled
 
 # The published constants of the rule-based polarity model (Hutto & Gilbert 2014).
 BOOST = 0.293
@@ -76,13 +76,6 @@ def polarity_tokens(text: Column | str) -> Column:
     return F.transform(long_enough, lambda t: F.lower(F.regexp_replace(t, _EDGE, "$1$2")))
 
 
-def _idiom_value(sequence: Column, otherwise: Column, idioms: Mapping[str, float]) -> Column:
-    branches = reduce(
-        lambda chain, item: chain.when(sequence == item[0], F.lit(float(item[1]))), idioms.items(), F.when(F.lit(False), F.lit(0.0))
-    )
-    return F.coalesce(branches, otherwise)
-
-
 def _in_context(hits: DataFrame, idioms: Mapping[str, float]) -> DataFrame:
     """Add ``_v``: the valence of each occurrence after its predecessors and idioms had their say.
 
@@ -111,15 +104,21 @@ def _in_context(hits: DataFrame, idioms: Mapping[str, float]) -> DataFrame:
 
 
 def _idiom_check(value: Column, p: Mapping[int, Column], idioms: Mapping[str, float]) -> Column:
+    """The value of an idiom around the word, else ``value``; less one step after a dampener pair.
+
+    Every sequence of words is put together once and ``value`` is named once: nested
+    alternatives over it would multiply the work per word.
+    """
     word, n1, n2 = F.col("word"), F.col("n1"), F.col("n2")
     join = lambda *words: F.concat_ws(" ", *words)
+    ahead = [F.when(n2.isNotNull(), join(word, n1, n2)), F.when(n1.isNotNull(), join(word, n1))]
     back = [join(p[1], word), join(p[2], p[1], word), join(p[2], p[1]), join(p[3], p[2], p[1]), join(p[3], p[2])]
-    for sequence in reversed(back):
-        value = _idiom_value(sequence, value, idioms)
-    value = F.when(n1.isNotNull(), _idiom_value(join(word, n1), value, idioms)).otherwise(value)
-    value = F.when(n2.isNotNull(), _idiom_value(join(word, n1, n2), value, idioms)).otherwise(value)
+    if idioms:
+        first = F.get(F.filter(F.array(*ahead, *back), lambda s: s.isin(*idioms)), F.lit(0))
+        table = F.create_map(*[F.lit(x) for item in idioms.items() for x in (item[0], float(item[1]))])
+        value = F.coalesce(F.try_element_at(table, first), value)
     pair = join(p[3], p[2]).isin(*DAMPENER_PAIRS) | join(p[2], p[1]).isin(*DAMPENER_PAIRS)
-    return F.when(pair, value - F.lit(BOOST)).otherwise(value)
+    return value - F.when(pair, BOOST).otherwise(0.0)
 
 
 def polarity(
@@ -163,14 +162,13 @@ def polarity(
         .join(valence.select("word", F.lit(True).alias("scored")), "word", "full")
         .select("word", F.coalesce("booster", F.lit(0.0)).alias("booster"), F.coalesce("negator", F.lit(False)).alias("negator"), F.coalesce("scored", F.lit(False)).alias("scored"))
     )
-    local = as_small(around)
-    around = around if local is None else local
+    around, small = settled(around)
     boosting = around.where(F.col("booster") != 0).select("word", F.lit(True).alias("_booster"))
-    hits = lookup_join(hits, boosting, "word", "left").where(F.col("_booster").isNull())
+    hits = lookup_join(hits, boosting, "word", "left", small=small).where(F.col("_booster").isNull())
     hits = hits.where(~((F.col("word") == "kind") & F.coalesce(F.col("n1") == "of", F.lit(False))))
     for k in (1, 2, 3):
         renamed = around.select(*[F.col(c).alias(f"p{k}" if c == "word" else f"{c}{k}") for c in around.columns])
-        hits = lookup_join(hits, renamed, f"p{k}", "left")
+        hits = lookup_join(hits, renamed, f"p{k}", "left", small=small)
 
     place = F.when((F.col("_but") == 0) | (F.col("at") + 1 == F.col("_but")), 1.0)
     weight = place.when(F.col("at") + 1 < F.col("_but"), BUT_BEFORE).otherwise(BUT_AFTER)
@@ -285,7 +283,7 @@ def emotion_means(
     """``(doc_id, emo_*)``: mean of each emotion column over all white-space tokens of a text,
     unknown words counting as 0 and texts without tokens giving 0."""
     tokens = df.select(key, whitespace_tokens(text).alias("_t"))
-    hits = lookup_join(tokens.select(key, F.explode("_t").alias("word")), emolex.select("word", *emotions), "word", "inner")
+    hits = lookup_join(exploded(tokens, [key], "_t", "word"), emolex.select("word", *emotions), "word", "inner")
     sums = hits.groupBy(key).agg(*[F.sum(e).alias(f"{prefix}{e}") for e in emotions])
     docs = tokens.select(key, F.greatest(F.size("_t"), F.lit(1)).alias("_n"))
     return docs.join(sums, key, "left").select(

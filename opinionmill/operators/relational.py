@@ -27,12 +27,27 @@ def as_small(df: DataFrame, max_rows: int = MAX_LOCAL_ROWS) -> DataFrame | None:
     return df.sparkSession.createDataFrame(table, schema=df.schema)
 
 
+def exploded(df: DataFrame, keep: Sequence[str], array: Column | str, name: str) -> DataFrame:
+    """One row per array element, null elements and empty arrays dropped.
+
+    The outer form is used on purpose: for the inner one the optimizer derives a "not empty"
+    filter and pushes it to the scan, where it would compute the array a second time.
+    """
+    return df.select(*keep, F.explode_outer(array).alias(name)).where(F.col(name).isNotNull())
+
+
 def by_key(df: DataFrame, key: str) -> DataFrame:
     """Partition by ``key`` so that later steps per key need no shuffle. The partition number is
     the session's own: rows that are about to be exploded must not be packed by their size now."""
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
 
 
+def settled(df: DataFrame, max_rows: int = MAX_LOCAL_ROWS) -> tuple[DataFrame, bool]:
+    """An aggregate computed once: as a local table when it is small (True), else stored."""
+    local = as_small(df, max_rows)
+    return (checkpoint(df), False) if local is None else (local, True)
+
+
 def lookup_join(
     big: DataFrame,
     lookup: DataFrame,
@@ -40,16 +55,17 @@ def lookup_join(
     how: str = "left",
     max_rows: int = MAX_BROADCAST_ROWS,
     max_hot: int = MAX_HOT_KEYS,
+    small: bool = False,
 ) -> DataFrame:
     """Join a large table to a lookup table by equal keys (null equals null).
 
-    A lookup of at most ``max_rows`` rows is broadcast. A longer one is joined by shuffle,
+    ``small`` says that the lookup's size was checked already. A lookup of at most ``max_rows`` rows is broadcast. A longer one is joined by shuffle,
     except for the hot keys: those holding more than 1/``max_hot`` of the rows of ``big``.
     There can be no more than ``max_hot`` of them, so their lookup rows are broadcast and
     no reducer receives one key's whole share.
     """
     keys = [on] if isinstance(on, str) else list(on)
-    if fits(lookup, max_rows):
+    if small or fits(lookup, max_rows):
         return _join(big, F.broadcast(lookup), keys, how)
 
     total = big.count()

@@ -15,7 +15,7 @@ from fractions import Fraction
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from opinionmill.operators.relational import as_small, lookup_join
+from opinionmill.operators.relational import lookup_join, settled
 from opinionmill.session import SEED, checkpoint
 
 PREFIX_DIGITS = 4  # 65,536 key prefixes per stratum
@@ -38,7 +38,7 @@ def _prefix_counts(df: DataFrame, strata: list[str], seed: int, key: str) -> Dat
 
 
 def _class_sizes(counts: DataFrame, strata: list[str]) -> DataFrame:
-    return _settled(counts.groupBy(*strata).agg(F.sum("_n").alias("_size")))
+    return settled(counts.groupBy(*strata).agg(F.sum("_n").alias("_size")))[0]
 
 
 def _quota(sizes: DataFrame, strata: list[str], n: int, total: int, size: str, name: str) -> DataFrame:
@@ -82,7 +82,8 @@ def _cut_keys(
     keyed = df.select(*strata, sample_key(seed, key).alias("_key")).withColumn(
         "_prefix", F.substring("_key", 1, PREFIX_DIGITS)
     )
-    near = lookup_join(keyed, _settled(edge), [*strata, "_prefix"], "inner")
+    edge, small = settled(edge)
+    near = lookup_join(keyed, edge, [*strata, "_prefix"], "inner", small=small)
     order = Window.partitionBy(*strata, "_cut").orderBy("_key")
     found = near.withColumn("_rn", F.row_number().over(order)).where(F.col("_rn") == F.col("_need"))
     cuts = found.groupBy(*strata).pivot("_cut", names).agg(F.first("_key"))
@@ -98,14 +99,9 @@ def _join_all(left: DataFrame, right: DataFrame, strata: list[str]) -> DataFrame
     return left.join(renamed, on, "left").drop(*[f"_r_{s}" for s in strata])
 
 
-def _settled(per_stratum: DataFrame) -> DataFrame:
-    """A table of a few rows per stratum, computed once: local when small, else stored."""
-    local = as_small(per_stratum)
-    return checkpoint(per_stratum) if local is None else local
-
-
 def _attach(df: DataFrame, cuts: DataFrame, strata: list[str]) -> DataFrame:
-    return lookup_join(df, _settled(cuts), strata, "inner")
+    cuts, small = settled(cuts)
+    return lookup_join(df, cuts, strata, "inner", small=small)
 
 
 def _totals(sizes: DataFrame) -> tuple[int, int, int]:
@@ -158,7 +154,7 @@ def stratified_split(
     _check(total - held, total, classes, smallest)
     tested = math.ceil(test / (val + test) * held)
     ranks = _quota(sizes, strata, total - held, total, "_size", "train")
-    ranks = _settled(ranks.withColumn("_held", F.col("_size") - F.col("train")))
+    ranks, _ = settled(ranks.withColumn("_held", F.col("_size") - F.col("train")))
     least_held = ranks.agg(F.min("_held")).first()[0]
     _check(held - tested, held, classes, least_held)
     ranks = _quota(ranks, strata, held - tested, held, "_held", "_val")

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from opinionmill.functions.text import ngrams, word_tokens
 from opinionmill.functions.vectors import cosine
 from opinionmill.operators.features import bag_of_words, embed, to_vectors
-from opinionmill.operators.relational import as_small, lookup_join, top_k_per_group
+from opinionmill.operators.relational import as_small, lookup_join, settled, top_k_per_group
 from opinionmill.session import SEED, checkpoint
 
 NOISE = -1
@@ -37,8 +37,8 @@ def renumber_by_size(assigned: DataFrame, min_size: int = 1, key: str = "doc_id"
     # One row per cluster of at least min_size documents.
     order = Window.orderBy(F.desc("_n"), "_first")
     ids = sizes.where(F.col("_n") >= min_size).select(cluster, (F.row_number().over(order) - 1).alias("topic"))
-    local = as_small(ids)
-    joined = lookup_join(assigned, checkpoint(ids) if local is None else local, cluster, "left")
+    ids, small = settled(ids)
+    joined = lookup_join(assigned, ids, cluster, "left", small=small)
     return joined.select(key, F.coalesce("topic", F.lit(NOISE)).cast("int").alias("topic"))
 
 
@@ -178,12 +178,12 @@ def words(
     by = list(by)
     tokens = df.select(*by, F.explode(topic_tokens(text, ascii_only)).alias("term"))
     counts = checkpoint(tokens.groupBy(*by, "term").agg(F.count(F.lit(1)).alias("tf")))
-    totals = as_small(counts.groupBy(*by).agg(F.sum("tf").alias("_words")))
+    totals, small = settled(counts.groupBy(*by).agg(F.sum("tf").alias("_words")))
     average = totals.agg(F.floor(F.avg("_words"))).first()[0]
     if average is None:
         average = 0
     frequency = counts.groupBy("term").agg(F.sum("tf").alias("_f"))
-    weighted = lookup_join(counts.join(frequency, "term"), totals, by, "inner")
+    weighted = lookup_join(counts.join(frequency, "term"), totals, by, "inner", small=small)
     weight = F.col("tf") / F.col("_words") * F.log(F.lit(1.0) + F.lit(float(average)) / F.col("_f"))
     return weighted.select(*by, "term", "tf", weight.alias("weight"))
 
@@ -237,8 +237,8 @@ def info(
 def representative_docs(docs: DataFrame, vectors: DataFrame, k: int = 3, key: str = "doc_id", vector: str = "embedding") -> DataFrame:
     topics = docs.select(key, "topic")
     centre = centroids(vectors, topics, key, vector)
-    local = as_small(centre, 10_000)
-    placed = lookup_join(topics.join(vectors.select(key, vector), key), checkpoint(centre) if local is None else local, "topic", "inner")
+    centre, small = settled(centre, 10_000)
+    placed = lookup_join(topics.join(vectors.select(key, vector), key), centre, "topic", "inner", small=small)
     near = placed.select(key, "topic", F.round(cosine(vector, "centroid"), 9).alias("_sim"))
     best = top_k_per_group(near, ["topic"], [F.desc("_sim"), F.col(key)], k, spread=key)
     listed = best.groupBy("topic").agg(F.array_sort(F.collect_list(F.struct("rank", key))).alias("_d"))
