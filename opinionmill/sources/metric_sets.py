@@ -31,6 +31,6 @@ def load_metric_set(spark: SparkSession, root: str, metric_set: str) -> DataFram
 def load_metric_documents(spark: SparkSession, root: str, prefix: str = "metrics_") -> DataFrame:
     """Hand-written documents ``<prefix><name>.json``: ``(metric_set, document)`` with the whole
     file as text, so sets of different shape share one table."""
-    files = spark.read.option("wholetext", True).text(f"{root.rstrip('/')}/{prefix}*.json")
+    files = spark.read.text(f"{root.rstrip('/')}/{prefix}*.json", wholetext=True)
     name = F.regexp_replace(F.col("_metadata.file_name"), rf"^{prefix}|\.json$", "")
     return files.select(name.alias("metric_set"), F.col("value").alias("document"))

@@ -49,8 +49,11 @@ def locate_reviews(spark: SparkSession, root: str, name: str = "train.csv", fold
 
 def corrupt_count(reviews: DataFrame) -> DataFrame:
     """``(rows, corrupt)`` of a frame read with ``keep_corrupt``."""
+    # The reader refuses to parse for the corrupt column alone, so a data column is counted too.
+    first = F.col(reviews.columns[0])
     return reviews.agg(
-        F.count(F.lit(1)).alias("rows"), F.count_if(F.col("_corrupt_record").isNotNull()).alias("corrupt")
+        (F.count(first) + F.count_if(first.isNull())).alias("rows"),
+        F.count_if(F.col("_corrupt_record").isNotNull()).alias("corrupt"),
     )
 
 
