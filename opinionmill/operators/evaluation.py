@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from opinionmill.operators.relational import lookup_join, settled, top_k_per_group
+from opinionmill.session import checkpoint
 
 AUC_EDGES = 256
 
@@ -19,8 +20,9 @@ def _groups(df: DataFrame, by: Sequence[str] | str | None) -> tuple[DataFrame, l
 
 
 def outcome_counts(pred: DataFrame, by: Sequence[str], label: str = "label", prediction: str = "prediction") -> DataFrame:
+    rows = F.sum("_rows") if "_rows" in pred.columns else F.count(F.lit(1))
     return pred.groupBy(*by, F.col(label).cast("int").alias("label"), F.col(prediction).cast("int").alias("prediction")).agg(
-        F.count(F.lit(1)).alias("n")
+        rows.alias("n")
     )
 
 
@@ -55,6 +57,13 @@ def metrics(
     The rows are reduced to outcome counts in one aggregate; all else works on those.
     """
     pred, by = _groups(pred, by)
+    if score is not None:
+        # Read the predictions once: rows with equal outcome and score become one stored count.
+        pred = checkpoint(
+            pred.groupBy(*by, F.col(label).cast("int").alias(label), prediction, F.col(score).cast("double").alias(score)).agg(
+                F.count(F.lit(1)).alias("_rows")
+            )
+        )
     counts = outcome_counts(pred, by, label, prediction)
     totals = counts.groupBy(*by).agg(
         (F.sum(F.when(F.col("label") == F.col("prediction"), F.col("n")).otherwise(0)) / F.sum("n")).alias("accuracy")
@@ -66,7 +75,8 @@ def metrics(
     )
     out = totals.join(f1, by)
     if score is not None:
-        out = out.join(roc_auc(pred, by, label, score), by, "left")
+        weighted = pred.withColumnRenamed(score, "_s")
+        out = out.join(_auc(_score_counts(weighted, by, label, F.col("_rows")), by), by, "left")
     return out.drop("_group")
 
 
@@ -78,11 +88,20 @@ def roc_auc(pred: DataFrame, by: Sequence[str] | str | None = "model", label: st
     its rank, so no window spans a group and the result does not depend on the edges.
     """
     grouped, by_cols = _groups(pred, by)
-    value = F.col(score).cast("double").alias("_s")
-    distinct = grouped.groupBy(*by_cols, value).agg(
-        F.sum(F.when(F.col(label) == 1, 1).otherwise(0)).alias("_pos"),
-        F.sum(F.when(F.col(label) == 1, 0).otherwise(1)).alias("_neg"),
+    named = grouped.withColumn("_s", F.col(score).cast("double"))
+    out = _auc(checkpoint(_score_counts(named, by_cols, label, F.lit(1))), by_cols)
+    return out.drop("_group")
+
+
+def _score_counts(pred: DataFrame, by: list[str], label: str, rows: Column) -> DataFrame:
+    """Positives and negatives per distinct score ``_s``."""
+    return pred.groupBy(*by, "_s").agg(
+        F.sum(F.when(F.col(label) == 1, rows).otherwise(0)).alias("_pos"),
+        F.sum(F.when(F.col(label) == 1, 0).otherwise(rows)).alias("_neg"),
     )
+
+
+def _auc(distinct: DataFrame, by_cols: list[str]) -> DataFrame:
     steps = [i / AUC_EDGES for i in range(1, AUC_EDGES)]
     edges = distinct.groupBy(*by_cols).agg(F.array_distinct(F.percentile_approx("_s", F.lit(steps), 2_000)).alias("_edges"))
     edges, small = settled(edges)
@@ -99,8 +118,7 @@ def roc_auc(pred: DataFrame, by: Sequence[str] | str | None = "model", label: st
     buckets = buckets.withColumn("_lower", F.coalesce(F.sum("_neg").over(lower), F.lit(0)))
     area = F.sum(F.col("_won") + F.col("_pos").cast("double") * F.col("_lower"))
     pairs = F.sum("_pos").cast("double") * F.sum("_neg").cast("double")
-    out = buckets.groupBy(*by_cols).agg(F.try_divide(area, pairs).alias("roc_auc"))
-    return out.drop("_group") if not by else out
+    return buckets.groupBy(*by_cols).agg(F.try_divide(area, pairs).alias("roc_auc"))
 
 
 def confusion(

@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from opinionmill.functions.text import count_char, whitespace_tokens, word_count
-from opinionmill.operators.relational import exploded, lookup_join, settled
+from opinionmill.operators.relational import lookup_join, settled
 
 # The published constants of the rule-based polarity model (Hutto & Gilbert 2014).
 BOOST = 0.293
@@ -143,19 +143,32 @@ def polarity(
         count_char(text, "!").alias("_ep"),
         count_char(text, "?").alias("_qm"),
     )
-    docs = tokenised.select(key, F.size("_t").alias("_n"), "_ep", "_qm")
 
-    occurrence = F.transform(
+    def entry(at: Column, word: Column, before: dict, after: dict) -> Column:
+        parts = {f"p{k}": v for k, v in before.items()} | {f"n{k}": v for k, v in after.items()}
+        return F.struct(at.alias("at"), word.alias("word"), *[v.alias(name) for name, v in parts.items()])
+
+    none = F.lit(None).cast("string")
+    # Every text also yields one empty word, which the lookup lists with valence 0. It keeps texts
+    # without any hit, so counts and scores come from one pass over the text.
+    marker = entry(F.lit(-1), F.lit(""), dict.fromkeys((1, 2, 3), none), dict.fromkeys((1, 2), none))
+    occurrences = F.transform(
         "_t",
-        lambda word, i: F.struct(
-            i.alias("at"),
-            word.alias("word"),
-            *[F.get("_t", i - k).alias(f"p{k}") for k in (1, 2, 3)],
-            *[F.get("_t", i + k).alias(f"n{k}") for k in (1, 2)],
+        lambda word, i: entry(
+            i, word, {k: F.get("_t", i - k) for k in (1, 2, 3)}, {k: F.get("_t", i + k) for k in (1, 2)}
         ),
     )
-    words = tokenised.select(key, F.array_position("_t", F.lit("but")).alias("_but"), F.inline(occurrence))
-    hits = lookup_join(words, valence.select("word", "valence"), "word", "inner")
+    words = tokenised.select(
+        key,
+        F.size("_t").alias("_n"),
+        "_ep",
+        "_qm",
+        F.array_position("_t", F.lit("but")).alias("_but"),
+        F.inline(F.concat(F.array(marker), occurrences)),
+    )
+    blank = df.sparkSession.createDataFrame([("", 0.0)], "word string, valence double")
+    listed = valence.select("word", F.col("valence").cast("double").alias("valence")).unionByName(blank)
+    hits = lookup_join(words, listed, "word", "inner")
 
     around = (
         modifiers.select("word", "booster", "negator")
@@ -172,18 +185,22 @@ def polarity(
 
     place = F.when((F.col("_but") == 0) | (F.col("at") + 1 == F.col("_but")), 1.0)
     weight = place.when(F.col("at") + 1 < F.col("_but"), BUT_BEFORE).otherwise(BUT_AFTER)
-    scored = _in_context(hits, idioms).select(key, "word", "at", "_v", weight.alias("_weight"))
+    per_text = ("_n", "_ep", "_qm")
+    scored = _in_context(hits, idioms).select(key, "word", "at", "_v", weight.alias("_weight"), *per_text)
     by_word = scored.groupBy(key, "word").agg(
-        F.min_by("_v", "at").alias("_v"), F.sum("_weight").alias("_weight"), F.count(F.lit(1)).alias("_m")
+        F.min_by("_v", "at").alias("_v"),
+        F.sum("_weight").alias("_weight"),
+        F.count(F.lit(1)).alias("_m"),
+        *[F.max(c).alias(c) for c in per_text],
     )
     total = F.col("_v") * F.col("_weight")
-    by_doc = by_word.groupBy(key).agg(
+    joined = by_word.groupBy(key).agg(
         F.sum(total).alias("_s"),
         F.sum(F.when(F.col("_v") > 0, total + F.col("_m")).otherwise(0.0)).alias("_pos"),
         F.sum(F.when(F.col("_v") < 0, total - F.col("_m")).otherwise(0.0)).alias("_neg"),
         F.sum(F.when(F.col("_v") != 0, F.col("_m")).otherwise(F.lit(0))).alias("_hits"),
+        *[F.max(c).alias(c) for c in per_text],
     )
-    joined = docs.join(by_doc, key, "left").na.fill({"_s": 0.0, "_pos": 0.0, "_neg": 0.0, "_hits": 0})
 
     emphasis = F.least(F.col("_ep"), F.lit(EXCLAMATION_LIMIT)) * F.lit(EXCLAMATION) + F.when(
         F.col("_qm") <= 1, 0.0
@@ -232,21 +249,31 @@ def valence_sum(
         F.array_sort(F.collect_list(F.struct((-F.size("_p")).alias("size"), "phrase", "score"))).alias("_entries")
     )
 
-    pieces = df.select(key, F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(_PIECE), F.lit(0)).alias("_p"))
+    lowered = F.lower(F.coalesce(F.col(text), F.lit("")))
+    pieces = df.select(
+        key, word_count(text, "ws").alias("_words"), F.regexp_extract_all(lowered, F.lit(_PIECE), F.lit(0)).alias("_p")
+    )
     window = F.transform(
         "_p",
         lambda word, i: F.struct(i.alias("at"), word.alias("word"), F.slice("_p", i + 1, F.lit(longest)).alias("ahead")),
     )
-    # Separators open no entry; dropping them here halves the exploded rows.
+    # Separators open no entry; dropping them here halves the exploded rows. One marker per text
+    # keeps texts without any match.
     window = F.filter(window, lambda e: e["word"].rlike(r"[\p{L}\p{N}_]"))
-    found = lookup_join(pieces.select(key, F.inline(window)), openings, "word", "inner")
+    marker = F.struct(F.lit(-1).alias("at"), F.lit("").alias("word"), F.array().cast("array<string>").alias("ahead"))
+    places = pieces.select(key, "_words", F.inline(F.concat(F.array(marker), window)))
+    found = lookup_join(places, openings, "word", "left")
     fitting = F.filter(
         "_entries", lambda e: F.array_join(F.slice("ahead", F.lit(1), -e["size"]), "") == e["phrase"]
     )
-    best = found.select(key, "at", F.get(fitting, F.lit(0)).alias("_e")).where(F.col("_e").isNotNull())
-    matches = best.select(key, F.struct("at", (-F.col("_e.size")).alias("size"), F.col("_e.score").alias("score")).alias("_m"))
+    best = found.select(key, "_words", "at", F.get(fitting, F.lit(0)).alias("_e"))
+    match = F.struct("at", (-F.col("_e.size")).alias("size"), F.col("_e.score").alias("score"))
+    matches = best.where(F.col("_e").isNotNull() | (F.col("at") == -1)).select(
+        key, "_words", F.when(F.col("_e").isNotNull(), match).alias("_m")
+    )
+    words = F.max("_words").alias("_words")
     if longest == 1:
-        sums = matches.groupBy(key).agg(F.sum("_m.score").alias("_sum"))
+        sums = matches.groupBy(key).agg(F.sum("_m.score").alias("_sum"), words)
     else:
         start = F.struct(F.lit(0).alias("free"), F.lit(0.0).alias("sum"))
         walk = F.aggregate(
@@ -258,10 +285,9 @@ def valence_sum(
             ).otherwise(acc),
             lambda acc: acc["sum"],
         )
-        sums = matches.groupBy(key).agg(walk.alias("_sum"))
-    docs = df.select(key, word_count(text, "ws").alias("_words"))
+        sums = matches.groupBy(key).agg(walk.alias("_sum"), words)
     total = F.coalesce(F.col("_sum"), F.lit(0.0))
-    return docs.join(sums, key, "left").select(
+    return sums.select(
         key, total.alias("lex_sum"), (total / F.col("_words")).alias("lex_sum_norm")
     )
 
@@ -283,12 +309,11 @@ def emotion_means(
     """``(doc_id, emo_*)``: mean of each emotion column over all white-space tokens of a text,
     unknown words counting as 0 and texts without tokens giving 0."""
     tokens = df.select(key, whitespace_tokens(text).alias("_t"))
-    hits = lookup_join(exploded(tokens, [key], "_t", "word"), emolex.select("word", *emotions), "word", "inner")
-    sums = hits.groupBy(key).agg(*[F.sum(e).alias(f"{prefix}{e}") for e in emotions])
-    docs = tokens.select(key, F.greatest(F.size("_t"), F.lit(1)).alias("_n"))
-    return docs.join(sums, key, "left").select(
-        key, *[(F.coalesce(F.col(f"{prefix}{e}"), F.lit(0.0)) / F.col("_n")).alias(f"{prefix}{e}") for e in emotions]
-    )
+    # The outer form keeps texts without tokens.
+    words = tokens.select(key, F.greatest(F.size("_t"), F.lit(1)).alias("_n"), F.explode_outer("_t").alias("word"))
+    found = lookup_join(words, emolex.select("word", *emotions), "word", "left")
+    means = [(F.coalesce(F.sum(e), F.lit(0.0)) / F.max("_n")).alias(f"{prefix}{e}") for e in emotions]
+    return found.groupBy(key).agg(*means)
 
 
 def signature(df: DataFrame, *parts: DataFrame, columns: Sequence[str] = ("label",), key: str = "doc_id") -> DataFrame:
