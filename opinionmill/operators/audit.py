@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from opinionmill.functions.text import char_count, word_count
+from opinionmill.operators.relational import settled
 
 STATISTICS = ("count", "null_count", "mean", "std", "min", "25%", "50%", "75%", "max")
 
@@ -69,13 +70,14 @@ def histogram(df: DataFrame, column: str, bins: int = 60, cap: float | None = No
     """Counts in ``bins`` equal bins between the smallest and largest (capped) value.
 
     The largest value belongs to the last bin. Empty bins are listed with zero. Values are
-    counted per distinct value first, so both passes after the scan are small.
+    counted per distinct value first, in the only pass over the data.
     """
     value = F.col(column).cast("double")
     value = F.least(value, F.lit(float(cap))) if cap is not None else value
     distinct = df.select(value.alias("_x")).where(F.col("_x").isNotNull()).groupBy("_x").agg(
         F.count(F.lit(1)).alias("_n")
     )
+    distinct, _ = settled(distinct)
     low, high = distinct.agg(F.min("_x"), F.max("_x")).first()
     spark = df.sparkSession
     if low is None:

@@ -84,7 +84,8 @@ def connected_components(edges: DataFrame, nodes: DataFrame, max_rounds: int = 6
             "node", "component", F.least("component", F.coalesce("_offer", "component")).alias("_new")
         )
         jump = lowered.select(F.col("node").alias("_new"), F.col("_new").alias("_jump"))
-        moved = lowered.join(jump, "_new", "left").select(
+        # Many nodes share a label, so this is a join on hot keys.
+        moved = lookup_join(lowered, jump, "_new", "left").select(
             "node", F.least("_new", F.coalesce("_jump", "_new")).alias("component"), F.col("component").alias("_old")
         )
         moved = checkpoint(moved)
@@ -138,7 +139,8 @@ def centroids(vectors: DataFrame, topics: DataFrame, key: str = "doc_id", vector
 def assign(vectors: DataFrame, prototypes: DataFrame, key: str = "doc_id", vector: str = "embedding", max_topics: int = 10_000) -> DataFrame:
     """``(doc_id, topic, similarity)``: nearest prototype by cosine, smallest topic on a tie.
 
-    Prototypes ``(topic, centroid)`` go to every task as one matrix; their number is checked.
+    Prototypes ``(topic, centroid)`` go to every task as one matrix. Their number is checked and a
+    larger set is refused, never cut.
     """
     table = as_small(prototypes.where(F.col("topic") != NOISE).orderBy("topic"), max_topics)
     if table is None:
@@ -311,7 +313,9 @@ def lda(
     """``(topic, rank, term, weight)`` of an online LDA over the first ``n_docs`` documents by
     key (all, when None). One pass is ``1 / subsampling`` mini-batches."""
     docs = df.select(key, text)
-    docs = docs if n_docs is None else docs.orderBy(key).limit(n_docs)
+    if n_docs is not None:
+        # Only keys are sorted; the texts stay where they are.
+        docs = lookup_join(docs, docs.select(key).orderBy(key).limit(n_docs), key, "left_semi")
     dictionary, counts = bag_of_words(docs, text, no_below, no_above, key)
     size = dictionary.count()
     if not size:
