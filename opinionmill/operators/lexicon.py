@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from opinionmill.functions.text import count_char, whitespace_tokens, word_count
-from opinionmill.operators.relational import lookup_join, settled
+from opinionmill.operators.relational import literal_table, lookup_join, settled
 
 # The published constants of the rule-based polarity model (Hutto & Gilbert 2014).
 BOOST = 0.293
@@ -67,7 +67,7 @@ def default_modifiers(spark: SparkSession) -> DataFrame:
     """``(word, booster, negator)`` of the published rule set."""
     rows = [(w, BOOST, False) for w in BOOSTERS] + [(w, -BOOST, False) for w in DAMPENERS]
     rows += [(w, 0.0, True) for w in NEGATORS]
-    return spark.createDataFrame(rows, MODIFIER_SCHEMA)
+    return literal_table(spark, rows, MODIFIER_SCHEMA)
 
 
 def polarity_tokens(text: Column | str) -> Column:
@@ -166,7 +166,7 @@ def polarity(
         F.array_position("_t", F.lit("but")).alias("_but"),
         F.inline(F.concat(F.array(marker), occurrences)),
     )
-    blank = df.sparkSession.createDataFrame([("", 0.0)], "word string, valence double")
+    blank = literal_table(df.sparkSession, [("", 0.0)], "word string, valence double")
     listed = valence.select("word", F.col("valence").cast("double").alias("valence")).unionByName(blank)
     hits = lookup_join(words, listed, "word", "inner")
 

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from opinionmill.operators.evaluation import metrics
 from opinionmill.operators.features import batch_apply, fit_vocabulary, tfidf, to_vectors
+from opinionmill.operators.relational import literal_table
 from opinionmill.operators.sampling import under_sample
 from opinionmill.session import SEED
 
@@ -150,7 +151,7 @@ def coefficients(model: PipelineModel, vocab: DataFrame) -> DataFrame:
     """``(term, term_id, coef)`` of a fitted linear model, joined by column number."""
     weights = model.stages[-1].coefficients.toArray().tolist()
     spark = vocab.sparkSession
-    table = spark.createDataFrame(list(enumerate(weights)), "term_id long, coef double")
+    table = literal_table(spark, list(enumerate(weights)), "term_id long, coef double")
     return vocab.select("term", "term_id").join(table, "term_id").select("term", "term_id", "coef")
 
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from opinionmill.session import checkpoint
 
@@ -14,6 +15,17 @@ MAX_LOCAL_ROWS = 100_000
 MAX_HOT_KEYS = 10_000
 
 
+_ARROW = {"string": pa.string(), "double": pa.float64(), "int": pa.int32(), "bigint": pa.int64(), "boolean": pa.bool_()}
+
+
+def literal_table(spark: SparkSession, rows: Sequence[tuple], schema: str) -> DataFrame:
+    """A few rows written in code, as a relation the planner knows the size of; plain columns only."""
+    fields = T.StructType.fromDDL(schema)
+    columns = [[row[i] for row in rows] for i in range(len(fields))]
+    arrays = [pa.array(c, _ARROW[f.dataType.simpleString()]) for c, f in zip(columns, fields)]
+    return spark.createDataFrame(pa.Table.from_arrays(arrays, names=fields.names), schema=fields)
+
+
 def fits(df: DataFrame, max_rows: int) -> bool:
     """True when ``df`` has at most ``max_rows`` rows; reads no more than needed."""
     return df.limit(max_rows + 1).count() <= max_rows

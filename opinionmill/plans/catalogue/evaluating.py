@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from opinionmill.operators import evaluation, lexicon
+from opinionmill.operators.relational import literal_table
 from opinionmill.plans import fixtures as fx
 from opinionmill.plans.catalogue.preparing import scratch
 from opinionmill.plans.catalogue.registry import query
@@ -118,7 +119,7 @@ def comparison_of(spark, d):
     neural = rows.where("model = 'sum'").select(
         "model", F.col("accuracy").alias("eval_accuracy"), F.col("f1_macro").alias("eval_f1_macro"), F.lit("neural").alias("tier")
     )
-    idle = spark.createDataFrame([("neural", "not run")], "tier string, model string")
+    idle = literal_table(spark, [("neural", "not run")], "tier string, model string")
     return evaluation.compare(
         rows.where("model = 'polarity@0'").select("model", "accuracy", F.lit("lexicon").alias("tier")),
         rows.where("model <> 'polarity@0'").withColumn("tier", F.lit("classical")),

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from opinionmill.operators.cleaning import drop_incomplete, with_review
+from opinionmill.operators.relational import literal_table
 from opinionmill.plans.stages import CATEGORIES
 from opinionmill.sources.tables import read_table
 
@@ -95,23 +96,23 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def valence(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(VALENCE, "word string, valence double")
+    return literal_table(spark, VALENCE, "word string, valence double")
 
 
 def modifiers(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(MODIFIERS, "word string, booster double, negator boolean")
+    return literal_table(spark, MODIFIERS, "word string, booster double, negator boolean")
 
 
 def phrases(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(PHRASES, "phrase string, score int")
+    return literal_table(spark, PHRASES, "phrase string, score int")
 
 
 def emolex(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(EMOLEX, "word string, emotion string, value int")
+    return literal_table(spark, EMOLEX, "word string, emotion string, value int")
 
 
 def seeds(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(SEEDS, "category string, seed_term string, weight double")
+    return literal_table(spark, SEEDS, "category string, seed_term string, weight double")
 
 
 # ---- SQL twins -------------------------------------------------------------------------------
