@@ -135,22 +135,23 @@ def signature(spark, d):
     return signature_of(spark, d).select("doc_id", "label", *[F.round(c, 6).alias(c) for c in SCORES])
 
 
-@query("signature_describe", f"WITH {SQL_SIGNATURE} {sql_describe('sig', ['lex_sum', 'lex_sum_norm', 'lex_compound'])}")
+@query("signature_describe", f"WITH {SQL_SIGNATURE} {sql_describe('sig', ['lex_sum', 'lex_sum_norm', 'lex_compound'], 9)}")
 def signature_describe(spark, d):
+    # Scores have four places, so a mean can lie exactly between two six-place numbers.
     out = audit.describe(signature_of(spark, d), ["lex_sum", "lex_sum_norm", "lex_compound"])
-    return out.withColumn("value", F.round("value", 6))
+    return out.withColumn("value", F.round("value", 9))
 
 
 @query(
     "signature_class_means",
     f"WITH {SQL_SIGNATURE} " + " UNION ALL ".join(
-        f"SELECT '{c}' AS dimension, round(avg({c}) FILTER (WHERE label = 0), 6) + 0.0 AS negative, round(avg({c}) FILTER (WHERE label = 1), 6) + 0.0 AS positive FROM sig"
+        f"SELECT '{c}' AS dimension, round(avg({c}) FILTER (WHERE label = 0), 9) + 0.0 AS negative, round(avg({c}) FILTER (WHERE label = 1), 9) + 0.0 AS positive FROM sig"
         for c in SCORES
     ),
 )
 def signature_class_means(spark, d):
     means = lexicon.class_means(signature_of(spark, d), SCORES)
-    return means.select("dimension", F.round("negative", 6).alias("negative"), F.round("positive", 6).alias("positive"))
+    return means.select("dimension", F.round("negative", 9).alias("negative"), F.round("positive", 9).alias("positive"))
 
 
 def sql_binary_metrics(source: str, by: str = "") -> str:
