@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from opinionmill.llm import packing
+from opinionmill.llm import packing, substrings
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -31,3 +31,30 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     path = public_tokenizers.path
     return packing.pack_documents(docs, path("byte_bpe_50k.json"), path("byte_bpe_50k.tiktoken"))
+
+
+@query(
+    "op9_substring_dedup",
+    r"""
+    WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+    win AS (
+      SELECT doc_id, i, array_to_string(w[i : i + 12], ' ') AS g
+      FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM d)
+    ),
+    own AS (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY g) AS owner FROM win),
+    gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS j FROM own WHERE owner < doc_id),
+    lost AS (SELECT doc_id, list(j) AS js FROM gone GROUP BY doc_id),
+    kept AS (
+      SELECT d.doc_id, w, CASE WHEN js IS NULL THEN w ELSE
+        [x[1] FOR x IN list_zip(w, range(1, len(w) + 1)) IF NOT list_contains(js, x[2])] END AS k
+      FROM d LEFT JOIN lost ON d.doc_id = lost.doc_id
+    )
+    SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - len(k) AS BIGINT) AS n_removed,
+           sha256(array_to_string(k, ' ')) AS kept_sha256
+    FROM kept
+    """,
+)
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the windows of 13 words that a smaller document holds."""
+    found = substrings.remove_repeats(table(spark, sf_dir, "documents"), with_text=False)
+    return found.select("doc_id", "n_words", "n_removed", "kept_sha256")
