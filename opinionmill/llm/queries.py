@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from opinionmill.llm import packing, substrings
+from opinionmill.llm import packing, quality, substrings
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -58,3 +58,39 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents without the windows of 13 words that a smaller document holds."""
     found = substrings.remove_repeats(table(spark, sf_dir, "documents"), with_text=False)
     return found.select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+@query(
+    "op4_quality",
+    rf"""
+    WITH d AS (
+      SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t,
+             regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+             [x FOR x IN string_split(coalesce(text, ''), chr(10)) IF regexp_matches(x, '[^\x20\x09-\x0D]')] AS ls
+      FROM documents
+    ),
+    win AS (SELECT r, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g
+            FROM (SELECT r, w, unnest(range(1, len(w) - 1)) AS i FROM d)),
+    rep AS (SELECT r, i, count(*) OVER (PARTITION BY r, g) AS c FROM win),
+    cov AS (SELECT r, count(DISTINCT j) AS n FROM (SELECT r, unnest([i, i + 1, i + 2]) AS j FROM rep WHERE c > 1) GROUP BY r),
+    m AS (
+      SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+             CAST(len(regexp_extract_all(t, '[#*$%&|<>]')) AS BIGINT) AS n_symbols,
+             CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines,
+             CAST(coalesce(n, 0) AS BIGINT) AS n_repeat_words,
+             len([x FOR x IN w IF regexp_matches(x, '\pL')]) AS n_letter_words,
+             len([x FOR x IN w IF list_contains({quality.STOP_WORDS!r}, lower(x))]) AS n_stop_words, len(ls) AS n_lines
+      FROM d LEFT JOIN cov USING (r)
+    ),
+    b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m)
+    SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+           NOT base_failed AND word_chars / n_words BETWEEN 3.0::DOUBLE AND 10.0::DOUBLE AND n_symbols / n_words <= 0.1::DOUBLE
+           AND n_letter_words / n_words >= 0.8::DOUBLE AND n_stop_words / n_words >= 0.06::DOUBLE
+           AND n_dup_lines / n_lines <= 0.3::DOUBLE AS kept
+    FROM b
+    """,
+)
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and verdict of every document."""
+    columns = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    return quality.judge(table(spark, sf_dir, "documents")).select(*columns)
