@@ -5,8 +5,8 @@ as one compressed block per shard, not as one row per window. A shard finds the
 every hash and returns, per document, the windows that another document owns. Per document these
 merge into maximal intervals of words, which are removed. Windows are judged on the input alone.
 
-The hash keeps all its 64 bits (the shard number is part of it); two different windows of a corpus
-of n windows share one with probability below n^2 / 2^65.
+Of the hash 56 bits are sent and the shard number is log2(shards) more, at least 62 together and more
+for a larger corpus; two given windows that differ share all with probability below 2^-62.
 
 Cases: a null or empty text has no words; a text shorter than a window keeps all its words; words
 are compared unchanged; a null doc_id owns nothing and loses nothing; repeated rows of one doc_id
@@ -28,6 +28,7 @@ from opinionmill.llm import words
 WIDTH = 13
 SHARD_BYTES = 16 << 20
 MIN_SHARDS = 64
+HASH_BYTES = 7
 _BASE = 0x9E3779B97F4A7C15 | 1
 _ZSTD = pa.Codec("zstd", compression_level=1)
 
@@ -75,11 +76,10 @@ def _loosened(data: bytes, dtype) -> np.ndarray:
 def _blocks(doc_ids: np.ndarray, hashes: np.ndarray, doc: np.ndarray, place: np.ndarray, shards: int):
     """One row per shard: hashes without the shard's own bits, documents and places as differences."""
     bits = shards.bit_length() - 1
-    size = -(-(64 - bits) // 8)
     shard = (hashes & np.uint64(shards - 1)).astype(np.uint32)
     order = np.argsort(shard, kind="stable")
     edges = np.searchsorted(shard[order], np.arange(shards + 1))
-    rest = (hashes[order] >> np.uint64(bits)).view(np.uint8).reshape(-1, 8)[:, :size]
+    rest = (hashes[order] >> np.uint64(bits)).view(np.uint8).reshape(-1, 8)[:, :HASH_BYTES]
     ids, places = doc_ids[doc[order]], place[order]
     for s in range(shards):
         a, b = int(edges[s]), int(edges[s + 1])
@@ -87,10 +87,10 @@ def _blocks(doc_ids: np.ndarray, hashes: np.ndarray, doc: np.ndarray, place: np.
             yield s, b - a, rest[a:b].tobytes(), _pressed(ids[a:b]), _pressed(places[a:b])
 
 
-def _unblocked(table: pa.Table, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _unblocked(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     n = table.column("n").to_pylist()
     raw = np.zeros((sum(n), 8), np.uint8)
-    raw[:, :size] = np.frombuffer(b"".join(table.column("hashes").to_pylist()), np.uint8).reshape(-1, size)
+    raw[:, :HASH_BYTES] = np.frombuffer(b"".join(table.column("hashes").to_pylist()), np.uint8).reshape(-1, HASH_BYTES)
     ids = np.concatenate([_loosened(x, np.int64) for x in table.column("docs").to_pylist()])
     places = np.concatenate([_loosened(x, np.int32) for x in table.column("places").to_pylist()])
     return raw.reshape(-1).view(np.uint64), ids, places
@@ -100,7 +100,7 @@ def windows(docs: DataFrame, width: int, shards: int) -> DataFrame:
     """Blocks of window hashes of all documents, by shard."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in words.sliced(batches, "text", 4 * words.SLICE_BYTES):
+        for batch in words.sliced(batches, "text"):
             codes, distinct, first = words.coded(batch.column("text"))
             h = window_hashes(words.hashes(distinct)[codes], width)
             sizes = np.maximum(np.diff(first) - width + 1, 0)
@@ -116,12 +116,11 @@ def windows(docs: DataFrame, width: int, shards: int) -> DataFrame:
     return kept.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, BLOCKS)
 
 
-def foreign_windows(blocks: DataFrame, shards: int) -> DataFrame:
+def foreign_windows(blocks: DataFrame) -> DataFrame:
     """Per document and shard the windows (as int32 places) whose words a smaller document has."""
-    size = -(-(64 - (shards.bit_length() - 1)) // 8)
 
     def find(table: pa.Table) -> pa.Table:
-        h, ids, places = _unblocked(table, size)
+        h, ids, places = _unblocked(table)
         order = np.argsort(h)
         h, ids, places = h[order], ids[order], places[order]
         first = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
@@ -169,7 +168,7 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, with_text: bool = True)
     made = ["n_words", "n_removed", "removed", "kept_sha256", "kept_text", "_places"]
     docs = docs.drop(*made)
     shards = shard_count(docs)
-    found = foreign_windows(windows(docs, width, shards), shards)
+    found = foreign_windows(windows(docs, width, shards))
     found = found.groupBy(F.col("doc_id").alias("_doc")).agg(F.collect_list("places").alias("_places"))
     joined = docs.join(found, docs["doc_id"].cast("long") == found["_doc"], "left").drop("_doc")
     fields = "n_words long, n_removed long, removed array<struct<start:long,stop:long>>, kept_sha256 string"
