@@ -31,7 +31,7 @@ RULES: tuple[tuple[str, str, float | None, float | None], ...] = (
     ("symbols", "symbol_ratio", None, 0.1),
     ("letters", "letter_word_ratio", 0.8, None),
     ("stop_words", "stop_word_ratio", 0.06, None),
-    ("repeated_lines", "dup_line_ratio", None, 0.3),
+    ("repeated_lines", "dup_line_ratio", None, 0.4),
 )
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_letter_words", "n_stop_words", "n_lines")
 

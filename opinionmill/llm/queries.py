@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from opinionmill.llm import packing, quality, substrings
+from opinionmill.llm import mixing, packing, quality, substrings
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -86,7 +86,7 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
            NOT base_failed AND word_chars / n_words BETWEEN 3.0::DOUBLE AND 10.0::DOUBLE AND n_symbols / n_words <= 0.1::DOUBLE
            AND n_letter_words / n_words >= 0.8::DOUBLE AND n_stop_words / n_words >= 0.06::DOUBLE
-           AND n_dup_lines / n_lines <= 0.3::DOUBLE AS kept
+           AND n_dup_lines / n_lines <= 0.4::DOUBLE AS kept
     FROM b
     """,
 )
@@ -94,3 +94,10 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and verdict of every document."""
     columns = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
     return quality.judge(table(spark, sf_dir, "documents")).select(*columns)
+
+
+@query("op2_mixing")
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that the mix takes of every document."""
+    mixed = mixing.mix(table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
