@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from opinionmill.llm import mixing, packing, quality, substrings
+from opinionmill.llm import mixing, neardup, packing, quality, substrings
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -101,3 +101,33 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that the mix takes of every document."""
     mixed = mixing.mix(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+
+
+@query(
+    "op10_neardup",
+    r"""
+    WITH RECURSIVE d AS (
+      SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                        '[^\x20\x09-\x0D]+') AS w
+      FROM documents
+    ),
+    sh AS (
+      SELECT DISTINCT doc_id, array_to_string(w[i : i + 4], ' ') AS s
+      FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM d WHERE len(w) > 0)
+    ),
+    n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+    both_ AS (
+      SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2
+    ),
+    l AS (
+      SELECT a, b FROM both_ JOIN n x ON a = x.doc_id JOIN n y ON b = y.doc_id WHERE 100 * c >= 75 * (x.n + y.n - c)
+    ),
+    e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+    r AS (SELECT doc_id AS v, doc_id AS m FROM documents UNION SELECT e.b, r.m FROM r JOIN e ON e.a = r.v AND r.m < e.b)
+    SELECT d.doc_id, coalesce(n, 0) AS n_shingles, m AS component_id, m = d.doc_id AS kept
+    FROM d LEFT JOIN n ON d.doc_id = n.doc_id JOIN (SELECT v, min(m) AS m FROM r GROUP BY v) ON v = d.doc_id
+    """,
+)
+def op10_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The near-duplicate component of every document."""
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"))
