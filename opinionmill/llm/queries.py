@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from opinionmill.llm import mixing, neardup, packing, quality, substrings
+from opinionmill.llm import lm, mixing, neardup, packing, quality, substrings
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -25,6 +25,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def fold(modulus: int, key: str = "doc_id"):
+    """crc32 of the id as text, modulo ``modulus``."""
+    return F.crc32(F.col(key).cast("string")) % modulus
+
+
 @query("op3_packing")
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of 1024 tokens."""
@@ -131,3 +136,10 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The near-duplicate component of every document."""
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query("op5_lm")
+def op5_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probability of every document under a bigram model of four fifths of them."""
+    found = lm.score_texts(table(spark, sf_dir, "documents"), fold(5) == 1)
+    return found.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
