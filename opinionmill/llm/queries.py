@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from opinionmill.llm import chat, lm, mixing, neardup, packing, quality, substrings, topk
+from opinionmill.llm import chat, langid, lm, mixing, neardup, packing, quality, substrings, topk, toxicity
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -210,3 +210,19 @@ def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(loss, 256).alias("loss_sha256"),
         "formatted_chars",
     )
+
+
+@query("op6_langid")
+def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The predicted language of every document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    found = langid.label_languages(docs, fold(4) != 2)
+    return found.select("doc_id", (fold(4) == 2).alias("held_out"), "lang_pred", "score")
+
+
+@query("op7_toxicity")
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The toxicity score of every document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = toxicity.score_toxicity(docs, table(spark, sf_dir, "labels"), fold(5) != 0)
+    return found.select("doc_id", (fold(5) == 0).alias("held_out"), "score", "predicted")

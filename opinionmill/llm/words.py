@@ -90,3 +90,37 @@ def ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     total = int(sizes.sum())
     shift = np.repeat(starts - (np.cumsum(sizes) - sizes), sizes)
     return np.arange(total, dtype=np.int64) + shift
+
+
+def subwords(distinct: pa.Array, sizes: tuple[int, ...], buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Feature numbers below ``buckets`` of each word in a row, and where each word's begin.
+
+    A word is set between a start and an end mark. Its features are the byte n-grams of ``sizes``
+    (those with a mark are its affixes) and the whole word.
+    """
+    n = len(distinct)
+    offsets = np.frombuffer(distinct.buffers()[1], np.int64)[distinct.offset : distinct.offset + n + 1]
+    length = np.diff(offsets)
+    places = offsets[:-1] - offsets[0] + 2 * np.arange(n)
+    data = np.empty(int(length.sum()) + 2 * n, np.uint64)
+    data[places], data[places + length + 1] = 2, 3
+    data[ragged(places + 1, length)] = np.frombuffer(distinct.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
+    columns, counts = [], []
+    for size in sizes:
+        code = np.full(len(data), size * 0x9E3779B9, np.uint64)
+        for k in range(size):
+            code[: len(data) - k] = (code[: len(data) - k] ^ data[k:]) * np.uint64(0x100000001B3)
+        code ^= code >> np.uint64(29)
+        code *= np.uint64(0xBF58476D1CE4E5B9)
+        count = np.maximum(length + 2 - size + 1, 0)
+        columns.append((code[ragged(places, count)] >> np.uint64(33)) % np.uint64(buckets))
+        counts.append(count)
+    columns.append(hashes(distinct) % np.uint64(buckets))
+    counts.append(np.ones(n, np.int64))
+    total = np.sum(counts, axis=0)
+    begins = np.cumsum(total) - total
+    out, at = np.empty(int(total.sum()), np.int64), begins.copy()
+    for values, count in zip(columns, counts):
+        out[ragged(at, count)] = values.astype(np.int64)
+        at += count
+    return out, begins
