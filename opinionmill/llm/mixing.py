@@ -154,19 +154,21 @@ def mix(
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs``, each as often as the mix takes it; null doc_ids and repeated rows included."""
-    decided = mix(docs, **options)
-    by_id = Window.partitionBy("doc_id", "source")
-    decided = decided.select(
-        F.col("doc_id").alias("_id"), F.col("source").alias("_source"), "copies",
-        F.row_number().over(Window.partitionBy("doc_id", "source").orderBy("copies")).alias("_occurs"),
-    )
-    numbered = docs.withColumn("_at", F.row_number().over(by_id.orderBy(F.lit(1))))
-    match = (
-        numbered["doc_id"].cast("long").eqNullSafe(decided["_id"])
-        & numbered["source"].eqNullSafe(decided["_source"])
-        & (numbered["_at"] == decided["_occurs"])
-    )
-    joined = numbered.join(decided, match)
-    copies = F.explode(F.sequence(F.lit(1), F.col("copies")))
-    return joined.where("copies > 0").select(*docs.columns, copies.alias("_copy")).drop("_copy")
+    """The rows of ``docs``, each as often as the mix takes it.
+
+    Decisions meet their documents by two 64-bit hashes of (doc_id, source); repeated rows take one
+    decision each. The second hash and the row's number are compared behind the join, so the texts
+    are shuffled once, for the numbering and the join together.
+    """
+
+    def marked(rows: DataFrame, order: Column, *names: str) -> DataFrame:
+        source, doc_id = F.coalesce("source", F.lit("")), F.coalesce(F.col("doc_id").cast("long"), F.lit(0).cast("long"))
+        parts = (doc_id, F.col("doc_id").isNull(), source, F.col("source").isNull())
+        rows = rows.withColumns({names[0]: F.xxhash64(*parts), names[1]: F.xxhash64(F.lit(1), *parts)})
+        return rows.withColumn(names[2], F.row_number().over(Window.partitionBy(names[0]).orderBy(names[1], order)))
+
+    decided = marked(mix(docs, **options), F.col("copies"), "_key", "_check", "_number").select("_key", "_check", "_number", "copies")
+    rows = marked(docs, F.col("n_chars") if "n_chars" in docs.columns else F.lit(1), "_own", "_own_check", "_own_number")
+    same = (F.col("_check").bitwiseXOR(F.col("_own_check")) == 0) & (F.col("_number") - F.col("_own_number") == 0)
+    joined = rows.join(decided, (F.col("_own") == F.col("_key")) & same).where("copies > 0")
+    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)

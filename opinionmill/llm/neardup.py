@@ -262,3 +262,11 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, similarity: int = SIMIL
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("_component", "doc_id"))
     out = signed.join(named, match, "left").select("doc_id", "n_shingles", component.alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def keep_one(docs: DataFrame, **options) -> DataFrame:
+    """One row of every component, that of the smallest id; rows without an id all stay."""
+    kept = near_duplicates(docs, **options).where("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_id")).distinct()
+    named = docs.where(F.col("doc_id").isNotNull())
+    one = named.join(kept, named["doc_id"] == kept["_id"], "left_semi").dropDuplicates(["doc_id"])
+    return one.unionByName(docs.where(F.col("doc_id").isNull()))
