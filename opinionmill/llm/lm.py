@@ -34,7 +34,7 @@ from opinionmill.llm import words
 from opinionmill.llm.elias_fano import EliasFano
 from opinionmill.llm.storage import stored
 
-BLOCK_TOKENS = 3_000_000
+BLOCK_TOKENS = 2_000_000
 SHARD_TOKENS = 2_000_000
 MIN_SHARDS = 64
 HOT_SHARE = 2000
