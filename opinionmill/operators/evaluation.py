@@ -20,8 +20,9 @@ def _groups(df: DataFrame, by: Sequence[str] | str | None) -> tuple[DataFrame, l
 
 
 def outcome_counts(pred: DataFrame, by: Sequence[str], label: str = "label", prediction: str = "prediction") -> DataFrame:
+    """``(..., label, prediction, n)``; rows without a label take no part."""
     rows = F.sum("_rows") if "_rows" in pred.columns else F.count(F.lit(1))
-    return pred.groupBy(*by, F.col(label).cast("int").alias("label"), F.col(prediction).cast("int").alias("prediction")).agg(
+    return pred.where(F.col(label).isNotNull()).groupBy(*by, F.col(label).cast("int").alias("label"), F.col(prediction).cast("int").alias("prediction")).agg(
         rows.alias("n")
     )
 
@@ -94,10 +95,10 @@ def roc_auc(pred: DataFrame, by: Sequence[str] | str | None = "model", label: st
 
 
 def _score_counts(pred: DataFrame, by: list[str], label: str, rows: Column) -> DataFrame:
-    """Positives and negatives per distinct score ``_s``."""
+    """Positives and negatives per distinct score ``_s``; other labels and null count for neither."""
     return pred.groupBy(*by, "_s").agg(
         F.sum(F.when(F.col(label) == 1, rows).otherwise(0)).alias("_pos"),
-        F.sum(F.when(F.col(label) == 1, 0).otherwise(rows)).alias("_neg"),
+        F.sum(F.when(F.col(label) == 0, rows).otherwise(0)).alias("_neg"),
     )
 
 
@@ -124,19 +125,52 @@ def _auc(distinct: DataFrame, by_cols: list[str]) -> DataFrame:
 def confusion(
     pred: DataFrame, by: Sequence[str] | str | None = None, label: str = "label", prediction: str = "prediction", classes: Sequence[int] = (0, 1)
 ) -> DataFrame:
-    """``(label, prediction, n)`` over the full class grid, zeros kept."""
+    """``(label, prediction, n)`` over the full class grid, zeros kept: ``classes`` and all others
+    that the group's labels or predictions hold."""
     pred, by_cols = _groups(pred, by)
-    counts = outcome_counts(pred, by_cols, label, prediction)
+    counts = checkpoint(outcome_counts(pred, by_cols, label, prediction))
+    # One row per group; a group's classes are few.
+    seen = F.flatten(F.collect_set(F.filter(F.array("label", "prediction"), lambda c: c.isNotNull())))
+    given = F.array(*[F.lit(int(c)) for c in classes]).cast("array<int>")
     grid = (
-        counts.select(*by_cols)
-        .distinct()
-        .withColumn("label", F.explode(F.array(*[F.lit(int(c)) for c in classes])))
-        .withColumn("prediction", F.explode(F.array(*[F.lit(int(c)) for c in classes])))
+        counts.groupBy(*by_cols)
+        .agg(F.array_union(given, seen).alias("_classes"))
+        .withColumn("label", F.explode("_classes"))
+        .withColumn("prediction", F.explode("_classes"))
+        .drop("_classes")
     )
     full = grid.join(counts, [*by_cols, "label", "prediction"], "left").na.fill({"n": 0})
     return full.drop("_group")
 
 
+def cohen_kappa(pred: DataFrame, by: Sequence[str] | str | None = "model", label: str = "label", prediction: str = "prediction") -> DataFrame:
+    """``(..., n, observed, expected, kappa)``: agreement beyond chance; null where chance alone is perfect."""
+    pred, by_cols = _groups(pred, by)
+    counts = checkpoint(outcome_counts(pred.where(F.col(prediction).isNotNull()), by_cols, label, prediction))
+    agreed = counts.groupBy(*by_cols).agg(
+        F.sum("n").alias("n"), F.sum(F.when(F.col("label") == F.col("prediction"), F.col("n")).otherwise(0)).alias("_same")
+    )
+    sides = counts.select(*by_cols, "n", F.explode(F.array(F.struct(F.col("label").alias("c"), F.lit(True).alias("t")), F.struct(F.col("prediction").alias("c"), F.lit(False).alias("t")))).alias("s"))
+    margins = sides.groupBy(*by_cols, F.col("s.c").alias("_c")).agg(
+        F.sum(F.when(F.col("s.t"), F.col("n")).otherwise(0)).alias("_true"), F.sum(F.when(F.col("s.t"), 0).otherwise(F.col("n"))).alias("_said")
+    )
+    chance = margins.groupBy(*by_cols).agg(F.sum(F.col("_true").cast("double") * F.col("_said")).alias("_chance"))
+    total = F.col("n").cast("double")
+    out = agreed.join(chance, by_cols).select(*by_cols, "n", (F.col("_same") / total).alias("observed"), (F.col("_chance") / total / total).alias("expected"))
+    kappa = F.try_divide(F.col("observed") - F.col("expected"), F.lit(1.0) - F.col("expected"))
+    return out.withColumn("kappa", kappa).drop("_group")
+
+
+def label_cardinality(pairs: DataFrame, key: str = "doc_id", label: str = "label") -> DataFrame:
+    """``(documents, labels, cardinality, density)`` of multi-label data, one row per (document, label):
+    labels per document, and that divided by the number of distinct labels."""
+    kept = pairs.where(F.col(key).isNotNull())
+    per = kept.groupBy(key).agg(F.count_distinct(label).alias("n")).agg(F.count(F.lit(1)).alias("documents"), F.sum("n").alias("_n"))
+    n_labels = F.lit(kept.agg(F.count_distinct(label)).first()[0]).cast("long")
+    cardinality = F.try_divide(F.col("_n"), F.col("documents"))
+    return per.select("documents", n_labels.alias("labels"), cardinality.alias("cardinality"), F.try_divide(cardinality, n_labels).alias("density"))
+
+
 def best(rows: DataFrame, on: str = "f1_macro", order: str = "ord") -> DataFrame:
     """The model with the highest ``on``; on a tie the one with the smallest ``order``."""
     return rows.where(F.col(on).isNotNull()).agg(

@@ -13,7 +13,7 @@ from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from opinionmill.functions.text import ngrams, whitespace_tokens, word_tokens
-from opinionmill.operators.relational import MAX_BROADCAST_ROWS, by_key, exploded, lookup_join, number_rows, sorted_table
+from opinionmill.operators.relational import MAX_BROADCAST_ROWS, MAX_HOT_KEYS, by_key, exploded, lookup_join, number_rows, sorted_table
 from opinionmill.session import SEED, checkpoint
 
 
@@ -60,11 +60,10 @@ def vocabulary_stats(vocab: DataFrame) -> DataFrame:
     )
 
 
-def term_counts(df: DataFrame, terms: Column, key: str = "doc_id") -> DataFrame:
-    """``(doc_id, term, tf)``. The text is partitioned by document once; counting, norms and
-    vector assembly then need no further shuffle."""
-    placed = by_key(df.select(key, terms.alias("_terms")), key)
-    return exploded(placed, [key], "_terms", "term").groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
+def term_counts(df: DataFrame, terms: Column, key: str = "doc_id", text: str = "review") -> DataFrame:
+    """``(doc_id, term, tf)``. The text is partitioned by document once and tokenised behind that
+    shuffle; counting, norms and vector assembly then need no further one."""
+    return exploded(by_key(df.select(key, text), key), [key], terms, "term").groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def tfidf(
@@ -79,8 +78,12 @@ def tfidf(
     max_broadcast: int = MAX_BROADCAST_ROWS,
 ) -> DataFrame:
     """``(doc_id, term, term_id, tfidf)`` for the terms of ``vocab``; unseen terms are dropped."""
-    counts = term_counts(df, grams_of(text, ngram, fold), key)
-    known = lookup_join(counts, vocab.select("term", "term_id", "idf"), "term", "inner", max_broadcast)
+    counts = term_counts(df, grams_of(text, ngram, fold), key, text)
+    # The vocabulary's own document frequencies tell which terms hold more than 1 / MAX_HOT_KEYS of
+    # all (document, term) rows, so the texts are not read again to find them.
+    rows = vocab.agg(F.sum("df")).first()[0] or 0 if "df" in vocab.columns else None
+    hot = None if rows is None else vocab.where(F.col("df") * MAX_HOT_KEYS > rows).select("term")
+    known = lookup_join(counts, vocab.select("term", "term_id", "idf"), "term", "inner", max_broadcast, hot=hot)
     tf = F.col("tf").cast("double")
     weight = (F.lit(1.0) + F.log(tf) if sublinear else tf) * F.col("idf")
     weighted = known.select(key, "term", F.col("term_id").cast("long"), weight.alias("_w"))
@@ -125,15 +128,21 @@ def bag_of_words(
     terms = whitespace_tokens(text)
     stored, n_docs = document_frequency(df, terms, no_below)
     dictionary = checkpoint(number_rows(stored.where(F.col("df") <= no_above * n_docs), "term_id").select("term", "term_id", "df"))
-    counts = lookup_join(term_counts(df, terms, key), dictionary.select("term", "term_id"), "term", "inner")
+    counts = lookup_join(term_counts(df, terms, key, text), dictionary.select("term", "term_id"), "term", "inner")
     return dictionary, counts.select(key, "term", "term_id", "tf")
 
 
 def fit_embedder(
-    train: DataFrame, text: str = "review", dim: int = 64, min_count: int = 5, iterations: int = 1, partitions: int = 1, seed: int = SEED
+    train: DataFrame, text: str = "review", dim: int = 64, min_count: int = 5, iterations: int | None = None, partitions: int | None = None, seed: int = SEED
 ) -> PipelineModel:
-    """Word vectors, averaged per document and scaled to length one. Fit on a training sample;
-    the vocabulary is held on the driver, so raise ``min_count`` with the corpus."""
+    """Word vectors, averaged per document and scaled to length one.
+
+    Partitions train in parallel and are averaged after each of as many iterations (defaults: the
+    session's parallelism, and one iteration per partition up to 4). The vocabulary is held on the
+    driver, so raise ``min_count`` with the corpus.
+    """
+    partitions = partitions or train.sparkSession.sparkContext.defaultParallelism
+    iterations = iterations or min(partitions, 4)
     words = Word2Vec(
         vectorSize=dim, minCount=min_count, maxIter=iterations, numPartitions=partitions, seed=seed, inputCol="_words", outputCol="_mean"
     )
@@ -183,3 +192,44 @@ def batch_apply(df: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame], schem
             yield fn(frame)
 
     return df.mapInPandas(run, schema)
+
+
+def class_term_counts(df: DataFrame, terms: Column, label: str = "label") -> DataFrame:
+    """``(label, term, n, share)``: how often each class uses a term, and its share of the class's words."""
+    counts = df.where(F.col(label).isNotNull()).select(label, F.explode(terms).alias("term")).groupBy(label, "term")
+    counts = checkpoint(counts.agg(F.count(F.lit(1)).alias("n")))
+    totals = counts.groupBy(label).agg(F.sum("n").alias("_total"))
+    met = lookup_join(counts, totals, label, "inner")
+    return met.select(label, "term", "n", (F.col("n") / F.col("_total")).alias("share"))
+
+
+def bm25(
+    df: DataFrame, terms: Column, k1: float = 1.2, b: float = 0.75, text: str = "review", key: str = "doc_id", max_broadcast: int = MAX_BROADCAST_ROWS
+) -> DataFrame:
+    """``(doc_id, term, tf, bm25)`` with ``idf = ln(1 + (N - df + 0.5) / (df + 0.5))`` over all texts."""
+    frequency, n_docs = document_frequency(df, terms)
+    rows = frequency.agg(F.sum("df")).first()[0] or 0
+    counts = term_counts(df, terms, key, text)
+    # Term counts are partitioned by document, so its length needs no further shuffle.
+    counts = checkpoint(counts.withColumn("_len", F.sum("tf").over(Window.partitionBy(key))))
+    average = counts.agg(F.sum("tf").alias("n")).first()["n"] or 0
+    average = max(average / max(n_docs, 1), 1e-300)
+    hot = frequency.where(F.col("df") * MAX_HOT_KEYS > rows).select("term")
+    known = lookup_join(counts, frequency.select("term", "df"), "term", "inner", max_broadcast, hot=hot)
+    idf = F.log(F.lit(1.0) + (F.lit(float(n_docs)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    norm = F.lit(k1) * (F.lit(1.0 - b) + F.lit(b) * F.col("_len") / F.lit(float(average)))
+    return known.select(key, "term", "tf", (idf * F.col("tf") * (k1 + 1.0) / (F.col("tf") + norm)).alias("bm25"))
+
+
+def vocabulary_contrast(left: DataFrame, right: DataFrame, terms_left: Column, terms_right: Column) -> DataFrame:
+    """``(term, n_left, n_right, log_ratio)`` of two corpora: log of the smoothed shares' ratio,
+    each count raised by one half and each total by half the joint vocabulary."""
+    sides = [
+        df.select(F.explode(terms).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias(name))
+        for df, terms, name in ((left, terms_left, "n_left"), (right, terms_right, "n_right"))
+    ]
+    joint = checkpoint(sides[0].join(sides[1], "term", "full").na.fill(0, ["n_left", "n_right"]))
+    row = joint.agg(F.sum("n_left").alias("a"), F.sum("n_right").alias("b"), F.count(F.lit(1)).alias("v")).first()
+    half = (row["v"] or 0) / 2.0
+    share = [(F.col(c) + 0.5) / F.lit((row[r] or 0) + half) for c, r in (("n_left", "a"), ("n_right", "b"))]
+    return joint.select("term", "n_left", "n_right", F.log(share[0] / share[1]).alias("log_ratio"))

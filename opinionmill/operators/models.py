@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml import Pipeline, PipelineModel, Transformer
 from pyspark.ml.classification import (
     GBTClassifier,
@@ -16,8 +18,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, functions as F
 
 from opinionmill.operators.evaluation import metrics
-from opinionmill.operators.features import batch_apply, fit_vocabulary, tfidf, to_vectors
-from opinionmill.operators.relational import literal_table
+from opinionmill.operators.features import batch_apply, tfidf, to_vectors
 from opinionmill.operators.sampling import under_sample
 from opinionmill.session import SEED
 
@@ -63,28 +64,31 @@ def fit_gbt(
     rounds: int = 300,
     step: float = 0.05,
     depth: int = 6,
-    max_features: int = 1000,
+    max_features: int | None = None,
     seed: int = SEED,
     label: str = "label",
     features: str = "features",
 ) -> PipelineModel:
-    """Boosted trees on the ``max_features`` columns most related to the label, stopped early
-    on ``val`` when one is given. Tree depth takes the place of a leaf count."""
-    select = (
-        UnivariateFeatureSelector(featuresCol=features, labelCol=label, outputCol="_selected", selectionMode="numTopFeatures")
-        .setFeatureType("continuous")
-        .setLabelType("categorical")
-        .setSelectionThreshold(max_features)
-    )
-    boost = GBTClassifier(
-        featuresCol="_selected", labelCol=label, maxIter=rounds, stepSize=step, maxDepth=depth, seed=seed
-    )
-    selector = select.fit(train)
+    """Boosted trees, stopped early on ``val`` when one is given. Tree depth takes the place of a
+    leaf count. ``max_features`` keeps only the columns most related to the label."""
+    boost = GBTClassifier(featuresCol=features, labelCol=label, maxIter=rounds, stepSize=step, maxDepth=depth, seed=seed)
+    selectors = []
+    if max_features is not None:
+        select = (
+            UnivariateFeatureSelector(featuresCol=features, labelCol=label, outputCol="_selected", selectionMode="numTopFeatures")
+            .setFeatureType("continuous")
+            .setLabelType("categorical")
+            .setSelectionThreshold(max_features)
+        )
+        selectors = [select.fit(train)]
+        boost = boost.setFeaturesCol("_selected")
     data = train.withColumn("is_val", F.lit(False))
     if val is not None:
         data = data.unionByName(val.withColumn("is_val", F.lit(True)))
         boost = boost.setValidationIndicatorCol("is_val")
-    return PipelineModel([selector, boost.fit(selector.transform(data))])
+    for selector in selectors:
+        data = selector.transform(data)
+    return PipelineModel([*selectors, boost.fit(data)])
 
 
 def fit_undersampled_logreg(train: DataFrame, seed: int = SEED, label: str = "label", key: str = "doc_id", **params) -> PipelineModel:
@@ -149,13 +153,7 @@ def predict(model: Transformer, df: DataFrame, label: str = "label", key: str =
 
 def coefficients(model: PipelineModel, vocab: DataFrame) -> DataFrame:
     """``(term, term_id, coef)`` of a fitted linear model, joined by column number."""
-    weights = model.stages[-1].coefficients.toArray().tolist()
-    spark = vocab.sparkSession
-    table = literal_table(spark, list(enumerate(weights)), "term_id long, coef double")
+    weights = model.stages[-1].coefficients.toArray()  # the fitted model's own array, as long as the vocabulary
+    arrays = {"term_id": pa.array(np.arange(len(weights))), "coef": pa.array(weights)}
+    table = vocab.sparkSession.createDataFrame(pa.table(arrays))
     return vocab.select("term", "term_id").join(table, "term_id").select("term", "term_id", "coef")
-
-
-def fit_text_features(train: DataFrame, **options) -> tuple[DataFrame, int]:
-    """A vocabulary and its size."""
-    vocab = fit_vocabulary(train, **options)
-    return vocab, vocab.count()

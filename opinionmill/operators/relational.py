@@ -49,9 +49,9 @@ def exploded(df: DataFrame, keep: Sequence[str], array: Column | str, name: str)
 
 
 def by_key(df: DataFrame, key: str) -> DataFrame:
-    """Partition by ``key`` so that later steps per key need no shuffle. The partition number is
-    the session's own: rows that are about to be exploded must not be packed by their size now."""
-    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+    """Partition by ``key`` so that later steps per key need no shuffle; adaptive execution sets
+    the number of partitions by their bytes."""
+    return df.repartition(key)
 
 
 def settled(df: DataFrame, max_rows: int = MAX_LOCAL_ROWS) -> tuple[DataFrame, bool]:
@@ -68,22 +68,27 @@ def lookup_join(
     max_rows: int = MAX_BROADCAST_ROWS,
     max_hot: int = MAX_HOT_KEYS,
     small: bool = False,
+    hot: DataFrame | None = None,
 ) -> DataFrame:
     """Join a large table to a lookup table by equal keys (null equals null).
 
     ``small`` says that the lookup's size was checked already. A lookup of at most ``max_rows`` rows is broadcast. A longer one is joined by shuffle,
     except for the hot keys: those holding more than 1/``max_hot`` of the rows of ``big``.
     There can be no more than ``max_hot`` of them, so their lookup rows are broadcast and
-    no reducer receives one key's whole share.
+    no reducer receives one key's whole share. ``hot`` names those keys where they are known
+    already (at most ``max_hot``); otherwise ``big`` is read once more to count them.
     """
     keys = [on] if isinstance(on, str) else list(on)
     if small or fits(lookup, max_rows):
         return _join(big, F.broadcast(lookup), keys, how)
 
-    total = big.count()
-    counted = big.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    hot = counted.where(F.col("_n") * max_hot > total).select(*keys, F.lit(True).alias("_hot"))
-    hot = as_small(hot, max_hot)
+    if hot is None:
+        total = big.count()
+        counted = big.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+        hot = counted.where(F.col("_n") * max_hot > total)
+    hot = as_small(hot.select(*keys, F.lit(True).alias("_hot")), max_hot)
+    if hot is None:
+        raise ValueError(f"more than {max_hot} hot keys were named")
     marked = _join(big, F.broadcast(hot), keys, "left")
     hot_lookup = _join(lookup, F.broadcast(hot.drop("_hot")), keys, "left_semi")
     if fits(hot_lookup, max_rows):

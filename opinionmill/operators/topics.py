@@ -10,6 +10,7 @@ from pyspark.ml import PipelineModel
 from pyspark.ml.clustering import LDA, KMeans
 from pyspark.ml.feature import PCA, StopWordsRemover
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from opinionmill.functions.text import ngrams, word_tokens
@@ -130,10 +131,8 @@ def density(
 def centroids(vectors: DataFrame, topics: DataFrame, key: str = "doc_id", vector: str = "embedding") -> DataFrame:
     """``(topic, centroid)``: mean vector per topic, noise left out."""
     joined = topics.where(F.col("topic") != NOISE).join(vectors.select(key, vector), key)
-    flat = joined.select("topic", F.posexplode(vector).alias("_i", "_x"))
-    means = flat.groupBy("topic", "_i").agg(F.avg(F.col("_x").cast("double")).alias("_x"))
-    listed = F.array_sort(F.collect_list(F.struct("_i", "_x")))
-    return means.groupBy("topic").agg(F.transform(listed, lambda e: e["_x"]).alias("centroid"))
+    dense = array_to_vector(F.col(vector).cast("array<double>"))
+    return joined.groupBy("topic").agg(Summarizer.mean(dense).alias("_m")).select("topic", vector_to_array("_m").alias("centroid"))
 
 
 def assign(vectors: DataFrame, prototypes: DataFrame, key: str = "doc_id", vector: str = "embedding", max_topics: int = 10_000) -> DataFrame:
@@ -153,9 +152,14 @@ def assign(vectors: DataFrame, prototypes: DataFrame, key: str = "doc_id", vecto
     @F.pandas_udf("topic int, similarity double")
     def nearest(values: pd.Series) -> pd.DataFrame:
         x = np.array(values.tolist(), dtype="float64").reshape(len(values), -1)
-        similarity = (x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)) @ matrix.T
-        at = similarity.argmax(axis=1)
-        return pd.DataFrame({"topic": names[at], "similarity": similarity[np.arange(len(at)), at]})
+        x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+        at, best = np.zeros(len(x), dtype=int), np.full(len(x), -np.inf)
+        for first in range(0, len(matrix), 256):
+            similarity = x @ matrix[first : first + 256].T
+            here = similarity.argmax(axis=1)
+            value = similarity[np.arange(len(x)), here]
+            at, best = np.where(value > best, first + here, at), np.maximum(value, best)
+        return pd.DataFrame({"topic": names[at], "similarity": best})
 
     return vectors.select(key, nearest(vector).alias("_n")).select(key, "_n.topic", "_n.similarity")
 
@@ -271,7 +275,8 @@ def concatenated(docs: DataFrame, n: int = 50, text: str = "review", key: str =
 
 
 def phrase_candidates(texts: DataFrame, stop_words: Sequence[str] | None = None, ngram: tuple[int, int] = (1, 2)) -> DataFrame:
-    """``(topic, term, tf)``: one- and two-word phrases without stop words."""
+    """``(topic, term, tf)``: one- and two-word phrases without stop words, from any number of texts
+    per topic. Counts are summed by (topic, term); no topic's texts are brought together."""
     stop_words = StopWordsRemover.loadDefaultStopWords("english") if stop_words is None else stop_words
     stops = F.array(*[F.lit(w) for w in stop_words])
     tokens = F.filter(word_tokens("text", fold=False), lambda t: ~F.array_contains(stops, t))
@@ -286,9 +291,9 @@ def keyphrases_by_frequency(texts: DataFrame, k: int = 8, **options) -> DataFram
     return ranked.select("topic", "rank", "term", "tf")
 
 
-def keyphrases(texts: DataFrame, model: PipelineModel, k: int = 8, **options) -> DataFrame:
-    """``(topic, rank, term, similarity)``: candidates closest to the vector of the topic text."""
-    whole = embed(texts, model, text="text", key="topic").select("topic", F.col("embedding").alias("_whole"))
+def keyphrases(texts: DataFrame, model: PipelineModel, k: int = 8, key: str = "doc_id", **options) -> DataFrame:
+    """``(topic, rank, term, similarity)``: candidates closest to the mean vector of the topic's texts."""
+    whole = centroids(embed(texts, model, text="text", key=key), texts.select(key, "topic"), key).withColumnRenamed("centroid", "_whole")
     candidates = phrase_candidates(texts, **options)
     encoded = embed(candidates.select("term").distinct(), model, text="term", key="term")
     scored = candidates.join(encoded, "term").join(whole, "topic")
@@ -300,7 +305,7 @@ def keyphrases(texts: DataFrame, model: PipelineModel, k: int = 8, **options) ->
 def lda(
     df: DataFrame,
     k: int = 8,
-    n_docs: int | None = 5000,
+    n_docs: int | None = None,
     passes: int = 2,
     n_words: int = 6,
     no_below: int = 10,
@@ -310,8 +315,8 @@ def lda(
     key: str = "doc_id",
     seed: int = SEED,
 ) -> DataFrame:
-    """``(topic, rank, term, weight)`` of an online LDA over the first ``n_docs`` documents by
-    key (all, when None). One pass is ``1 / subsampling`` mini-batches."""
+    """``(topic, rank, term, weight)`` of an online LDA over all documents, or the first ``n_docs``
+    by key. One pass is ``1 / subsampling`` mini-batches."""
     docs = df.select(key, text)
     if n_docs is not None:
         # Only keys are sorted; the texts stay where they are.

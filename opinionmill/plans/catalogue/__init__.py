@@ -1,6 +1,7 @@
 """One query per operator over the driver's tables, with the equivalent SQL where there is one."""
 
 from opinionmill.plans.catalogue import (  # noqa: F401
+    contrasting,
     evaluating,
     featuring,
     modelling,

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from opinionmill.functions.text import fold_accents, ngrams, whitespace_tokens, word_tokens
 from opinionmill.functions.vectors import argmax, cosine, norm, unit
 from opinionmill.operators import features, sampling
+from opinionmill.operators.relational import lookup_join
 from opinionmill.plans import fixtures as fx
 from opinionmill.plans.catalogue.preparing import sql_split
 from opinionmill.plans.catalogue.registry import query
@@ -173,7 +174,7 @@ def cosine_to_topic(spark, d):
 
     vectors = fx.vectors(spark, d)
     centre = centroids(vectors, vectors.select("doc_id", "topic"))
-    return vectors.join(F.broadcast(centre), "topic").select(
+    return lookup_join(vectors, centre, "topic", "inner").select(
         "doc_id", "topic", F.round(cosine("embedding", "centroid"), 6).alias("similarity")
     )
 

@@ -11,8 +11,8 @@ from opinionmill.plans.catalogue.registry import query
 from opinionmill.session import checkpoint
 from opinionmill.sources import tables
 
-MAX_ITER = 20
-ROUNDS = 5
+MAX_ITER = 1000
+ROUNDS = 300
 
 
 def training_data(spark, d):
@@ -22,7 +22,7 @@ def training_data(spark, d):
     vocab = features.fit_vocabulary(docs.where("split = 'train'"))
     size = vocab.count()
     data = models.tfidf_vectors(docs, vocab, size).join(docs.select("doc_id", "split"), "doc_id")
-    return vocab, data.persist()
+    return vocab, checkpoint(data)
 
 
 def scored(spark, d, fit):
@@ -49,7 +49,7 @@ def linear_svc(spark, d):
 def gbt(spark, d):
     return scored(
         spark, d,
-        lambda data: models.fit_gbt(train_of(data), data.where("split = 'val'"), rounds=ROUNDS, depth=4, max_features=200),
+        lambda data: models.fit_gbt(train_of(data), data.where("split = 'val'"), rounds=ROUNDS, depth=4),
     )
 
 
@@ -115,12 +115,12 @@ def training_rows(spark, d):
 
 @query("mlp")
 def mlp(spark, d):
-    """Dense classifier over word-vector means; sizes capped as in a short fine-tuning run."""
+    """Dense classifier over word-vector means of all labelled reviews."""
     docs = sampling.stratified_split(fx.labelled(spark, d).select("doc_id", "review", "label"), strata="label")
     docs = checkpoint(docs)
-    model = features.fit_embedder(docs.where("split = 'train'"), dim=16)
+    model = features.fit_embedder(docs.where("split = 'train'"), dim=64)
     data = docs.select("doc_id", "split", F.col("label").cast("double").alias("label")).join(features.embed(docs, model), "doc_id")
-    best, _ = models.fit_mlp(data.where("split = 'train'"), data.where("split = 'val'"), budgets=(10, 20), hidden=(8,))
+    best, _ = models.fit_mlp(data.where("split = 'train'"), data.where("split = 'val'"), budgets=(25, 50))
     test = data.where("split = 'test'").withColumn("features", models.array_to_vector("embedding"))
     return models.predict(best, test)
 
@@ -129,7 +129,7 @@ def mlp(spark, d):
 def model_roundtrip(spark, d):
     """A fitted model saved, loaded and used again: no prediction changes."""
     _, data = training_data(spark, d)
-    model = models.fit_logreg(train_of(data), max_iter=5)
+    model = models.fit_logreg(train_of(data), max_iter=MAX_ITER)
     path = tables.save_model(model, f"{scratch(spark)}/model")
     before = models.predict(model, data)
     after = models.predict(tables.load_model(path), data).select("doc_id", F.col("prediction").alias("again"))

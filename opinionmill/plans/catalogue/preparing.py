@@ -231,8 +231,8 @@ def csv_roundtrip(spark, d):
     root = scratch(spark)
     columns = fx.reviews(spark, d).select("polarity", "title", "text")
     columns.write.option("escape", '"').csv(f"{root}/nested/train.csv")
-    path = f"{root}/nested/train.csv"
-    back = review_files.read_reviews(spark, path, multiline=True, keep_corrupt=True)
+    path = review_files.locate_reviews(spark, f"{root}/nested", "part-*")
+    back = review_files.read_reviews(spark, path.rsplit("/", 1)[0], keep_corrupt=True)
     return back.groupBy("polarity").agg(
         F.count(F.lit(1)).alias("n"),
         F.sum(F.char_length("title")).alias("title_chars"),

@@ -104,7 +104,7 @@ def topic_count(spark, d):
 
 @query("topic_keyphrases_tf")
 def topic_keyphrases_tf(spark, d):
-    return topics.keyphrases_by_frequency(topics.concatenated(fx.doc_vectors(spark, d), 50, n_topics=8), 8)
+    return topics.keyphrases_by_frequency(fx.doc_vectors(spark, d).select("topic", F.col("review").alias("text")), 8)
 
 
 STOPS = ("the", "of", "and", "to", "in", "is", "de", "la", "der", "die", "und")
@@ -112,23 +112,23 @@ STOPS = ("the", "of", "and", "to", "in", "is", "de", "la", "der", "die", "und")
 
 @query(
     "topic_keyphrases_given_stops",
-    f"""WITH {fx.SQL_DOC_VECTORS}, f AS (SELECT topic, doc_id, review FROM doc_vectors QUALIFY row_number() OVER (PARTITION BY topic ORDER BY doc_id) <= 50),
-j AS (SELECT topic, list_filter({fx.sql_words("string_agg(review, ' ' ORDER BY doc_id)", False)}, lambda t: t NOT IN ({', '.join(f"'{w}'" for w in STOPS)})) AS t FROM f GROUP BY topic),
+    f"""WITH {fx.SQL_DOC_VECTORS}, j AS (SELECT topic, list_filter({fx.sql_words("review", False)}, lambda t: t NOT IN ({', '.join(f"'{w}'" for w in STOPS)})) AS t FROM doc_vectors),
 c AS (SELECT topic, unnest(list_concat(t, list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1]))) AS term FROM j),
 n AS (SELECT topic, term, count(*) AS tf FROM c GROUP BY topic, term)
 SELECT topic, CAST(row_number() OVER (PARTITION BY topic ORDER BY tf DESC, term) AS INTEGER) AS rank, term, tf FROM n
 QUALIFY row_number() OVER (PARTITION BY topic ORDER BY tf DESC, term) <= 8""",
 )
 def topic_keyphrases_given_stops(spark, d):
-    joined = topics.concatenated(fx.doc_vectors(spark, d), 50)
-    return topics.keyphrases_by_frequency(joined, 8, stop_words=STOPS)
+    """Most frequent phrases over all texts of each topic."""
+    texts = fx.doc_vectors(spark, d).select("topic", F.col("review").alias("text"))
+    return topics.keyphrases_by_frequency(texts, 8, stop_words=STOPS)
 
 
 @query("topic_keyphrases")
 def topic_keyphrases(spark, d):
     docs = fx.doc_vectors(spark, d)
     model = features.fit_embedder(docs, dim=32)
-    return topics.keyphrases(topics.concatenated(docs, 50, n_topics=8), model, 8)
+    return topics.keyphrases(docs.select("doc_id", "topic", F.col("review").alias("text")), model, 8)
 
 
 @query("topic_kmeans")
@@ -166,7 +166,7 @@ def topic_density_grid(spark, d):
 
 @query("lda_topics")
 def lda_topics(spark, d):
-    return topics.lda(fx.texts(spark, d), k=8, n_docs=None, passes=1, subsampling=0.2)
+    return topics.lda(fx.texts(spark, d), k=8)
 
 
 @query(

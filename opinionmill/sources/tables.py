@@ -18,14 +18,17 @@ def write_table(df: DataFrame, path: str, partition_by: Sequence[str] | str | No
     return path
 
 
+SPREAD_SPLITS = 8
+
+
 def read_table(spark: SparkSession, path: str, spread_by: str | None = None) -> DataFrame:
-    """A stored table. With ``spread_by`` a table too small to give every core a scan task is
-    repartitioned by that key; a large one is left as it lies."""
+    """A stored table. With ``spread_by`` a table of at most ``SPREAD_SPLITS`` scan tasks, fewer than
+    there are cores, is repartitioned by that key: no more than that many splits' bytes move."""
     table = spark.read.parquet(path)
-    cores = spark.sparkContext.defaultParallelism
-    if spread_by and table.rdd.getNumPartitions() < cores:
-        return table.repartition(cores, spread_by)
-    return table
+    if not spread_by:
+        return table
+    splits, cores = table.rdd.getNumPartitions(), spark.sparkContext.defaultParallelism
+    return table.repartition(cores, spread_by) if splits < min(cores, SPREAD_SPLITS + 1) else table
 
 
 def write_splits(df: DataFrame, path: str) -> str:

@@ -115,7 +115,8 @@ def test_classifiers_separate_an_easy_corpus(spark):
         words = rng.choices(filler, k=12) + (["awful", "broken"] if label == 0 else ["lovely", "perfect"])
         rows.append((i, label, " ".join(words)))
     docs = spark.createDataFrame(rows, "doc_id long, label int, review string")
-    vocab, size = models.fit_text_features(docs, min_df=2, ngram=(1, 1))
+    vocab = features.fit_vocabulary(docs, min_df=2, ngram=(1, 1))
+    size = vocab.count()
     data = models.tfidf_vectors(docs, vocab, size, ngram=(1, 1)).persist()
     from opinionmill.operators.evaluation import metrics
 

@@ -34,6 +34,24 @@ def test_confusion_keeps_zero_cells(spark):
     assert [(r.label, r.prediction, r.n) for r in rows] == [(0, 0, 0), (0, 1, 0), (1, 0, 0), (1, 1, 3)]
 
 
+def test_unlabelled_rows_take_no_part(spark):
+    rows = [("m", 1, 1, 0.9), ("m", 0, 0, 0.1), ("m", None, 1, 0.95), ("m", None, 0, 0.0)]
+    got = evaluation.metrics(spark.createDataFrame(rows, SCHEMA), score="score").first()
+    assert (got.accuracy, got.f1_macro, got.roc_auc) == (1.0, 1.0, 1.0)
+
+
+def test_confusion_shows_all_classes_seen(spark):
+    rows = [("m", 2, 1, 0.0), ("m", 0, 0, 0.0), ("n", 1, 1, 0.0)]
+    got = {(r.model, r.label, r.prediction): r.n for r in evaluation.confusion(spark.createDataFrame(rows, SCHEMA), "model").collect()}
+    assert len(got) == 9 + 4 and got["m", 2, 1] == 1 and got["m", 2, 2] == 0
+
+
+def test_kappa_of_chance_and_of_perfect_agreement(spark):
+    rows = [("chance", a, b, 0.0) for a in (0, 1) for b in (0, 1)] + [("same", a, a, 0.0) for a in (0, 1)] + [("one", 1, 1, 0.0)]
+    got = {r.model: r.kappa for r in evaluation.cohen_kappa(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == {"chance": 0.0, "same": 1.0, "one": None}
+
+
 def test_best_takes_the_first_of_equals(spark):
     rows = spark.createDataFrame([("a", 0.5, 0), ("b", 0.7, 1), ("c", 0.7, 2), ("d", None, 3)], "model string, f1_macro double, ord int")
     assert evaluation.best(rows).first().model == "b"

@@ -29,7 +29,7 @@ def test_review_files(spark):
     path = write(f"{root}/deep/er/train.csv", text)
     found = reviews.locate_reviews(spark, root)
     assert found.endswith("/deep/er/train.csv")
-    frame = reviews.read_reviews(spark, found, multiline=True, keep_corrupt=True)
+    frame = reviews.read_reviews(spark, found, keep_corrupt=True)
     rows = frame.orderBy(F.desc("polarity")).collect()
     assert (rows[0].title, rows[0].text, rows[1].text) == ('Great "thing"', "first, second", "bad\nnews")
     assert tuple(reviews.corrupt_count(frame).first()) == (3, 1)
@@ -41,6 +41,39 @@ def test_review_files(spark):
         reviews.locate_reviews(spark, f"{root}/missing")
 
 
+def test_records_over_split_borders(spark):
+    import csv
+    import random
+
+    rng, rows = random.Random(4), []
+    root = folder()
+    for name, ending in (("a.csv", "\n"), ("b.csv", "\r\n")):
+        with open(f"{root}/{name}", "w", newline="") as handle:
+            out = csv.writer(handle, quoting=csv.QUOTE_ALL, lineterminator=ending)
+            for i in range(120):
+                text = "x" + "".join(rng.choices('ab ,"\n\r\té', k=5000 if i % 40 == 7 else rng.randrange(60))) + "y"
+                rows.append((rng.randrange(1, 3), f"t\n{i}", text))
+                out.writerow(rows[-1])
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "1500")
+        spark.conf.set("spark.sql.files.openCostInBytes", "0")
+        got = reviews.read_reviews(spark, root, keep_corrupt=True).collect()
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+    assert sorted(tuple(r)[:3] for r in got) == sorted(rows)
+    assert not any(r._corrupt_record for r in got)
+
+
+def test_ingest_reports_malformed_rows(spark):
+    root = folder()
+    path = write(f"{root}/raw/train.csv", '"2","t","fine\nline"\n"x","t","broken"\n')
+    with pytest.raises(ValueError, match="1 malformed"):
+        stages.ingest(spark, path, root)
+    assert stages.ingest(spark, path, root, max_corrupt=None).where("text = 'fine\nline'").count() == 1
+
+
 def test_lexicon_file_is_optional(spark):
     path = write(f"{folder()}/lexicon.txt", "dog\tjoy\t1\nnull\tfear\t0\n")
     assert sorted(map(tuple, reviews.read_lexicon(spark, path).collect())) == [("dog", "joy", 1.0), ("null", "fear", 0.0)]
@@ -93,7 +126,7 @@ def test_a_whole_run_from_file_to_comparison(spark):
     assert signature.count() == 20 and "emo_joy" in signature.columns
     classical = stages.classical_tier(spark, root, max_iter=10, gbt_rounds=3)
     assert classical.count() == 4 and classical.where("is_best").count() == 1
-    stages.neural_tier(spark, root, {"train": 100, "val": 20, "test": 20}, budgets=(5,))
+    stages.neural_tier(spark, root, 100, budgets=(5,))
     seeds = spark.createDataFrame([("genuine need", "lovely", 1.0)], "category string, seed_term string, weight double")
     scores = stages.category_tier(spark, root, n=15, seeds=seeds)
     assert scores.count() == 15
