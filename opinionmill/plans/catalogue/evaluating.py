@@ -27,7 +27,7 @@ ALL = [*METRICS, "roc_auc"]
 
 
 def predictions(spark, d):
-    docs = fx.labelled(spark, d)
+    docs = fx.stored_labelled(spark, d)
     scored = lexicon.signature(
         docs, lexicon.polarity(docs, fx.valence(spark), fx.modifiers(spark)), lexicon.valence_sum(docs, fx.phrases(spark))
     )

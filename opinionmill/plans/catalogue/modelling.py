@@ -125,7 +125,7 @@ def mlp(spark, d):
     return models.predict(best, test)
 
 
-@query("model_roundtrip")
+@query("model_roundtrip", f"WITH {fx.SQL_LABELLED} SELECT count(*) AS n, CAST(0 AS BIGINT) AS changed FROM labelled")
 def model_roundtrip(spark, d):
     """A fitted model saved, loaded and used again: no prediction changes."""
     _, data = training_data(spark, d)
@@ -138,6 +138,45 @@ def model_roundtrip(spark, d):
     )
 
 
+MODELS = ("LogReg", "LinearSVC", "BoostedTrees", "LogReg+undersampled")
+
+
+@query(
+    "model_properties",
+    f"""WITH {fx.SQL_LABELLED}, {sql_split('labelled', 'label')}, t AS (SELECT count(*) AS n, CAST(sum(label) AS BIGINT) AS positives FROM split_of WHERE split = 'test')
+SELECT model, n, positives, true AS one_row_each, true AS follows_score, true AS in_range, true AS ranks_better_than_chance
+FROM t, (VALUES {', '.join(f"('{m}')" for m in MODELS)}) m(model)""",
+)
+def model_properties(spark, d):
+    """What must hold for the test predictions of every classifier, whatever its weights."""
+    _, data = training_data(spark, d)
+    train, val, test = (data.where(F.col("split") == s) for s in tables.SPLITS)
+    fitted = (
+        models.fit_logreg(train, max_iter=MAX_ITER),
+        models.fit_svc(train, max_iter=MAX_ITER),
+        models.fit_gbt(train, val, rounds=ROUNDS, depth=4),
+        models.fit_undersampled_logreg(train, max_iter=MAX_ITER),
+    )
+    parts = [
+        models.predict(model, test).select("*", F.lit(name).alias("model"), F.lit(0.0 if name == "LinearSVC" else 0.5).alias("cut"))
+        for name, model in zip(MODELS, fitted)
+    ]
+    scored = parts[0]
+    for part in parts[1:]:
+        scored = scored.unionByName(part)
+    scored = checkpoint(scored)
+    bounded = (F.col("model") == "LinearSVC") | F.col("score").between(0, 1)
+    flat = scored.groupBy("model").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.sum("label").alias("positives"),
+        (F.count_distinct("doc_id") == F.count(F.lit(1))).alias("one_row_each"),
+        F.every((F.col("prediction") == 1) == (F.col("score") > F.col("cut"))).alias("follows_score"),
+        F.every(bounded).alias("in_range"),
+    )
+    ranks = evaluation.roc_auc(scored).select("model", (F.col("roc_auc") > 0.5).alias("ranks_better_than_chance"))
+    return flat.join(ranks, "model")
+
+
 @query("batch_lengths", f"WITH {fx.SQL_TEXTS} SELECT doc_id, CAST(length(review) AS BIGINT) AS n FROM texts")
 def batch_lengths(spark, d):
     """A user's batch function over Arrow batches."""

@@ -216,7 +216,11 @@ def under_sampled(spark, d):
     return sampling.under_sample(fx.labelled(spark, d), "label").select("doc_id", "label")
 
 
-@query("sample_fraction")
+@query(
+    "sample_fraction",
+    f"""WITH {fx.SQL_LABELLED} SELECT doc_id, label FROM labelled
+WHERE CAST('0x' || substr(md5('42:' || doc_id), 1, 8) AS BIGINT) < CASE label WHEN 0 THEN 0.5 WHEN 1 THEN 0.25 END * 4294967296""",
+)
 def sample_fraction(spark, d):
     return sampling.fraction_sample(fx.labelled(spark, d), {0: 0.5, 1: 0.25}).select("doc_id", "label")
 

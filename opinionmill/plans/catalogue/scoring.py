@@ -10,6 +10,7 @@ from opinionmill.plans import fixtures as fx
 from opinionmill.plans.catalogue.preparing import sql_describe
 from opinionmill.plans.catalogue.registry import query
 from opinionmill.plans.stages import CATEGORIES
+from opinionmill.session import checkpoint
 
 NAMES = [categories.column_of(c) for c in CATEGORIES]
 EMO = [f"emo_{e}" for e in fx.EMOTIONS]
@@ -115,7 +116,8 @@ def emotion_means(spark, d):
 
 
 def signature_of(spark, d):
-    docs = fx.texts(spark, d)
+    """All score columns; the texts are cleaned once and stored, since three scorers read them."""
+    docs = checkpoint(fx.texts(spark, d).select("doc_id", "label", "review"))
     return lexicon.signature(
         docs,
         lexicon.polarity(docs, fx.valence(spark), fx.modifiers(spark)),
@@ -177,7 +179,7 @@ METRICS = ["accuracy", "f1_macro", "f1_pos", "f1_neg"]
   FROM labelled l JOIN lex_polarity p ON l.doc_id = p.doc_id), m AS ({sql_binary_metrics('pred')}) SELECT {sql_round(METRICS)} FROM m""",
 )
 def lex_accuracy(spark, d):
-    docs = fx.labelled(spark, d)
+    docs = fx.stored_labelled(spark, d)
     scored = lexicon.signature(docs, lexicon.polarity(docs, fx.valence(spark), fx.modifiers(spark)))
     rows = metrics(lexicon.classify(scored, threshold=-0.2), by=None)
     return rows.select(*[F.round(c, 6).alias(c) for c in METRICS])
@@ -199,7 +201,7 @@ def category_scores(spark, d):
 
 
 def labelled_scores(spark, d):
-    docs = fx.texts(spark, d)
+    docs = checkpoint(fx.texts(spark, d).select("doc_id", "label", "review"))
     scores = categories.score(docs, CATEGORIES, seeds=fx.seeds(spark))
     # Rounded so that equal scores tie in every engine and the key decides.
     return docs, docs.select("doc_id", "label").join(scores, "doc_id").select("doc_id", "label", *[F.round(n, 9).alias(n) for n in NAMES])

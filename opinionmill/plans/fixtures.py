@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from opinionmill.operators.cleaning import drop_incomplete, with_review
 from opinionmill.operators.relational import literal_table
 from opinionmill.plans.stages import CATEGORIES
+from opinionmill.session import checkpoint
 from opinionmill.sources.tables import read_table
 
 TOXIC = ("trash", "scum", "clown", "idiot", "worthless", "moron", "pathetic", "loser", "stupid", "disgusting")
@@ -76,6 +77,11 @@ def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_review(drop_incomplete(reviews(spark, sf_dir)))
 
 
+def stored_labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``labelled`` cleaned once and stored, for queries that score its texts in several ways."""
+    return checkpoint(labelled(spark, sf_dir).select("doc_id", "label", "review"))
+
+
 def web_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = load(spark, sf_dir, "pages", "page_id")
     return pages.select(F.col("page_id").alias("doc_id"), F.concat_ws(" ", "url", "html").alias("text"))

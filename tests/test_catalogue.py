@@ -1,6 +1,7 @@
 """Every catalogue query with an SQL twin, compared row by row on the smallest tables."""
 
 import os
+import re
 import sys
 
 import pytest
@@ -25,6 +26,14 @@ def test_flagship_query(spark):
     assert 0 < row.accuracy <= 1
 
 
+@pytest.mark.parametrize("name", sorted(n for n in set(queries()) - set(oracle_sql()) if not re.match(r"op\d+_|pipeline", n)))
+def test_queries_without_a_twin_run(spark, corpus, name):
+    rows = queries()[name](spark, corpus).toPandas()
+    assert len(rows) and not rows.isnull().any(axis=None)
+    if "score" in rows:
+        assert rows["doc_id"].is_unique and set(rows["prediction"]) <= {0, 1}
+
+
 # The smallest tables have strata with one member, which is an error by rule.
 NEEDS_MORE_ROWS = {"sample_multi_strata"}
 
