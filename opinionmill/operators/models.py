@@ -12,6 +12,8 @@ from pyspark.ml.classification import (
     LinearSVC,
     LogisticRegression,
     MultilayerPerceptronClassifier,
+    NaiveBayes,
+    RandomForestClassifier,
 )
 from pyspark.ml.feature import UnivariateFeatureSelector
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -23,8 +25,8 @@ from opinionmill.operators.sampling import under_sample
 from opinionmill.session import SEED
 
 __all__ = [
-    "batch_apply", "coefficients", "features_with_labels", "fit_gbt", "fit_logreg", "fit_mlp", "fit_svc",
-    "fit_undersampled_logreg", "predict", "tfidf_vectors",
+    "batch_apply", "coefficients", "features_with_labels", "fit_gbt", "fit_logreg", "fit_mlp", "fit_naive_bayes",
+    "fit_random_forest", "fit_svc", "fit_undersampled_logreg", "predict", "tfidf_vectors",
 ]
 
 
@@ -91,6 +93,18 @@ def fit_gbt(
     return PipelineModel([*selectors, boost.fit(data)])
 
 
+def fit_naive_bayes(train: DataFrame, smoothing: float = 1.0, label: str = "label", features: str = "features") -> PipelineModel:
+    """Multinomial naive Bayes on non-negative weights."""
+    return Pipeline(stages=[NaiveBayes(featuresCol=features, labelCol=label, smoothing=smoothing)]).fit(train)
+
+
+def fit_random_forest(
+    train: DataFrame, trees: int = 100, depth: int = 8, seed: int = SEED, label: str = "label", features: str = "features"
+) -> PipelineModel:
+    stage = RandomForestClassifier(featuresCol=features, labelCol=label, numTrees=trees, maxDepth=depth, seed=seed)
+    return Pipeline(stages=[stage]).fit(train)
+
+
 def fit_undersampled_logreg(train: DataFrame, seed: int = SEED, label: str = "label", key: str = "doc_id", **params) -> PipelineModel:
     """Logistic regression on a training set cut to equal class sizes."""
     return fit_logreg(under_sample(train, label, seed, key), label=label, **params)

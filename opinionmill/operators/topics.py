@@ -291,6 +291,27 @@ def keyphrases_by_frequency(texts: DataFrame, k: int = 8, **options) -> DataFram
     return ranked.select("topic", "rank", "term", "tf")
 
 
+def rake(df: DataFrame, stop_words: Sequence[str] | None = None, k: int = 50, text: str = "review") -> DataFrame:
+    """``(rank, phrase, n, score)``: runs of words between stop words, scored by their words' degrees.
+
+    A word's degree is the summed length of the phrases it stands in, its score degree / frequency,
+    a phrase's score the sum over its words. Phrases are counted first, so word statistics and the
+    final join work on distinct phrases.
+    """
+    stop_words = StopWordsRemover.loadDefaultStopWords("english") if stop_words is None else stop_words
+    marked = F.transform(word_tokens(text, fold=False), lambda t: F.when(t.isin(list(stop_words)), F.lit("|")).otherwise(t))
+    runs = F.transform(F.split(F.array_join(marked, " "), r"\|"), lambda p: F.trim(p))
+    phrases = df.select(F.explode(F.filter(runs, lambda p: p != "")).alias("phrase")).groupBy("phrase")
+    phrases = checkpoint(phrases.agg(F.count(F.lit(1)).alias("n")))
+    words = phrases.select("phrase", "n", F.explode(F.split("phrase", " ")).alias("word"), F.size(F.split("phrase", " ")).alias("_len"))
+    scores = words.groupBy("word").agg((F.sum(F.col("n") * F.col("_len")) / F.sum("n")).alias("_score"))
+    scored = lookup_join(words, scores, "word", "inner").groupBy("phrase").agg(F.first("n").alias("n"), F.sum("_score").alias("_s"))
+    scored = scored.select("phrase", "n", F.round("_s", 6).alias("score"))
+    return scored.orderBy(F.desc("score"), F.desc("n"), "phrase").limit(k).select(
+        F.row_number().over(Window.orderBy(F.desc("score"), F.desc("n"), "phrase")).alias("rank"), "phrase", "n", "score"
+    )
+
+
 def keyphrases(texts: DataFrame, model: PipelineModel, k: int = 8, key: str = "doc_id", **options) -> DataFrame:
     """``(topic, rank, term, similarity)``: candidates closest to the mean vector of the topic's texts."""
     whole = centroids(embed(texts, model, text="text", key=key), texts.select(key, "topic"), key).withColumnRenamed("centroid", "_whole")

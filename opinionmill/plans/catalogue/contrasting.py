@@ -9,7 +9,7 @@ from opinionmill.operators import evaluation, features, lexicon, topics
 from opinionmill.plans import fixtures as fx
 from opinionmill.plans.catalogue.evaluating import SQL_PRED, predictions, rounded
 from opinionmill.plans.catalogue.registry import query
-from opinionmill.plans.catalogue.topicking import sql_words
+from opinionmill.plans.catalogue.topicking import STOPS, sql_words
 
 SQL_TERMS = f"t AS (SELECT doc_id, label, unnest({fx.sql_words('review')}) AS term FROM texts)"
 
@@ -82,6 +82,20 @@ def label_cardinality(spark, d):
     return rounded(found, ["cardinality", "density"], 9)
 
 
+@query(
+    "rake_phrases",
+    rf"""WITH {fx.SQL_TEXTS}, m AS (SELECT [CASE WHEN t IN ({', '.join(f"'{w}'" for w in STOPS)}) THEN '|' ELSE t END FOR t IN {fx.sql_words('review', False)}] AS m FROM texts),
+r AS (SELECT trim(unnest(string_split(array_to_string(m, ' '), '|'))) AS phrase FROM m), p AS (SELECT phrase, count(*) AS n FROM r WHERE phrase <> '' GROUP BY phrase),
+w AS (SELECT phrase, n, unnest(string_split(phrase, ' ')) AS word, len(string_split(phrase, ' ')) AS l FROM p),
+s AS (SELECT word, CAST(sum(n * l) AS DOUBLE) / sum(n) AS s FROM w GROUP BY word),
+f AS (SELECT phrase, any_value(n) AS n, round(sum(s), 6) AS score FROM w JOIN s ON w.word = s.word GROUP BY phrase)
+SELECT CAST(row_number() OVER (ORDER BY score DESC, n DESC, phrase) AS INTEGER) AS rank, phrase, n, score FROM f ORDER BY rank LIMIT 50""",
+)
+def rake_phrases(spark, d):
+    """The 50 best phrases of all texts."""
+    return topics.rake(fx.texts(spark, d), STOPS, 50)
+
+
 AXES = ("anger", "joy")
 
 

@@ -138,7 +138,7 @@ def model_roundtrip(spark, d):
     )
 
 
-MODELS = ("LogReg", "LinearSVC", "BoostedTrees", "LogReg+undersampled")
+MODELS = ("LogReg", "LinearSVC", "BoostedTrees", "LogReg+undersampled", "NaiveBayes", "RandomForest")
 
 
 @query(
@@ -156,6 +156,8 @@ def model_properties(spark, d):
         models.fit_svc(train, max_iter=MAX_ITER),
         models.fit_gbt(train, val, rounds=ROUNDS, depth=4),
         models.fit_undersampled_logreg(train, max_iter=MAX_ITER),
+        models.fit_naive_bayes(train),
+        models.fit_random_forest(train),
     )
     parts = [
         models.predict(model, test).select("*", F.lit(name).alias("model"), F.lit(0.0 if name == "LinearSVC" else 0.5).alias("cut"))
