@@ -11,6 +11,7 @@ from pyspark.sql import Column, functions as F
 # Python's notion of white space: the Unicode property plus four control characters.
 _SPACE = r"[\s\x1C-\x1F]"
 _NOT_SPACE = r"[^\s\x1C-\x1F]"
+# Fixed value: what counts as a URL.
 URL_PATTERN = rf"(?U)https?://{_NOT_SPACE}+|www\.{_NOT_SPACE}+"
 SPACE_PATTERN = rf"(?U){_SPACE}+"
 WORD_PATTERN = r"[\p{L}\p{N}_]{2,}"

@@ -136,6 +136,7 @@ def values(name: str, columns: str, rows) -> str:
 
 
 def sql_clean(x: str) -> str:
+    # Fixed value: the cleaning patterns, as in ``functions.text``.
     urls = rf"regexp_replace(lower({x}), 'https?://\S+|www\.\S+', ' ', 'g')"
     return rf"trim(regexp_replace(replace(replace({urls}, '&quot;', '\"'), '&amp;', '&'), '\s+', ' ', 'g'))".replace('\\"', '"')
 
