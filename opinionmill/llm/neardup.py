@@ -7,8 +7,8 @@
    the corpus: a large region is just cut at deeper prefixes, so the depth adapts to the region.
    Each document proposes its most similar neighbours within a window and hubs of its region (members
    closest to the region's consensus), so proposals grow linearly with the documents.
-3. Proposals are confirmed on full shingle sets. Then the second round proposes only pairs between
-   different groups of the first, and so on until a round confirms nothing new.
+3. Proposals are confirmed on full shingle sets. The next round proposes only pairs between different
+   groups, from wider windows, and so on until a round confirms nothing new.
 4. Confirmed links become components by alternating star contraction.
 
 Cases: a null or empty text has no shingles and is linked with nothing; with fewer words than a
@@ -35,6 +35,8 @@ HASHES = 64
 MIN_DEPTH = 2
 NEIGHBOURS = 48
 BEST = 4
+#: Later rounds, which look at other groups only, look this many times further.
+FURTHER = 4
 HUBS = 8
 HUBS_PROPOSED = 2
 #: Shares of equal signature places from which a pair is proposed: 4.6 standard errors below 0.75.
@@ -109,24 +111,24 @@ def forest(representatives: DataFrame, trees: int = TREES) -> DataFrame:
     return rows.repartitionByRange("tree", "key").sortWithinPartitions("tree", "key", "rep")
 
 
-def _neighbours(tree: np.ndarray, signs: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of rows to confirm among sorted signatures: per row the ``BEST`` most similar of its
+def _neighbours(tree: np.ndarray, signs: np.ndarray, group: np.ndarray, n_best: int, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows to confirm among sorted signatures: per row the ``n_best`` most similar of its
     window and the best hubs of its region, if alike enough and of different groups."""
     m = len(signs)
     same = (signs[1:, :MIN_DEPTH] == signs[:-1, :MIN_DEPTH]).all(axis=1) & (tree[1:] == tree[:-1])
     region = np.concatenate([[0], np.cumsum(~same)])
     sizes = np.bincount(region)
-    best = np.zeros((BEST, m), np.int64)  # agreement << 40 | other row
+    best = np.zeros((n_best, m), np.int64)  # agreement << 40 | other row
     least = int(PROPOSE * HASHES)
 
     def offer(rows: np.ndarray, others: np.ndarray, agree: np.ndarray) -> None:
         new = (agree << 40) | others
-        for level in range(BEST):
+        for level in range(n_best):
             old = best[level, rows]
             best[level, rows] = np.maximum(old, new)
             new = np.minimum(old, new)
 
-    for offset in range(1, min(NEIGHBOURS, m - 1) + 1):
+    for offset in range(1, min(window, m - 1) + 1):
         left = np.flatnonzero((region[offset:] == region[:-offset]) & (group[offset:] != group[:-offset]))
         if not (region[offset:] == region[:-offset]).any():
             break
@@ -134,7 +136,7 @@ def _neighbours(tree: np.ndarray, signs: np.ndarray, group: np.ndarray) -> tuple
         left, agree = left[agree >= least], agree[agree >= least]
         offer(left, left + offset, agree)
         offer(left + offset, left, agree)
-    pairs = [(np.flatnonzero(best[k]), best[k][best[k] > 0] & ((1 << 40) - 1)) for k in range(BEST)]
+    pairs = [(np.flatnonzero(best[k]), best[k][best[k] > 0] & ((1 << 40) - 1)) for k in range(n_best)]
     begins = np.cumsum(sizes) - sizes
     for r in np.flatnonzero(sizes > 8):
         rows = np.arange(begins[r], begins[r] + sizes[r])
@@ -153,8 +155,9 @@ def _neighbours(tree: np.ndarray, signs: np.ndarray, group: np.ndarray) -> tuple
     return np.concatenate([p[0] for p in pairs]), np.concatenate([p[1] for p in pairs])
 
 
-def proposals(sorted_rows: DataFrame) -> DataFrame:
+def proposals(sorted_rows: DataFrame, further: int = 1) -> DataFrame:
     """Distinct pairs ``a < b`` that neighbours in some tree propose."""
+    n_best, window = BEST * further, NEIGHBOURS * further
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.RecordBatch | None = None
@@ -165,11 +168,11 @@ def proposals(sorted_rows: DataFrame) -> DataFrame:
                 batch = pa.concat_batches([held, batch])
             signs = np.frombuffer(b"".join(batch.column("key").to_pylist()), ">u2").astype(np.uint16).reshape(-1, HASHES)
             rep = batch.column("rep").to_numpy()
-            a, b = _neighbours(batch.column("tree").to_numpy(), signs, batch.column("group").to_numpy())
+            a, b = _neighbours(batch.column("tree").to_numpy(), signs, batch.column("group").to_numpy(), n_best, window)
             a, b = rep[a], rep[b]
             pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
-            held = batch.slice(max(0, batch.num_rows - NEIGHBOURS))
+            held = batch.slice(max(0, batch.num_rows - window))
 
     return sorted_rows.mapInArrow(run, "a long, b long").where("a <> b").distinct()
 
@@ -250,7 +253,7 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, similarity: int = SIMIL
     for _ in range(rounds - 1):
         rows = sets.join(alike, sets["rep"] == alike["node"], "left_semi")
         rows = rows.join(groups, rows["rep"] == groups["node"], "left").withColumn("group", F.coalesce("component", "rep"))
-        new = stored(proposals(forest(rows, trees)).join(tried, ["a", "b"], "left_anti"), "proposals")
+        new = stored(proposals(forest(rows, trees), FURTHER).join(tried, ["a", "b"], "left_anti"), "proposals")
         found = stored(confirmed(new, texts, width, similarity), "links")
         if not found.limit(1).count():
             break
