@@ -22,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from opinionmill.llm import words
 from opinionmill.llm.storage import stored
@@ -41,7 +41,7 @@ HUBS = 8
 HUBS_PROPOSED = 2
 #: Shares of equal signature places from which a pair is proposed: 4.6 standard errors below 0.75.
 PROPOSE = 0.5
-STAR_CHUNK = 64
+CELL = 256
 BUCKET_ROWS = 1024
 ROUNDS = 4
 
@@ -180,14 +180,20 @@ def proposals(sorted_rows: DataFrame, further: int = 1) -> DataFrame:
 def confirmed(pairs: DataFrame, texts: DataFrame, width: int = WIDTH, similarity: int = SIMILARITY) -> DataFrame:
     """The pairs whose full shingle sets, taken from ``texts`` (doc, text), are alike enough.
 
-    Pairs meet by their smaller document, in chunks of bounded size when it has many partners; a text
-    is sent once per chunk that needs it, several chunks share a bucket.
+    Pairs meet by the component they form among the pairs. A component of more than ``CELL`` documents
+    is cut into a grid of cells of about that many, and a pair goes to the cell of its two sides. So a
+    text is sent once for a small component and once per cell that needs it for a large one.
     """
-    degree = F.count(F.lit(1)).over(Window.partitionBy("a"))
-    chunk = F.pmod(F.xxhash64("b"), F.ceil(degree / F.lit(STAR_CHUNK)).cast("long"))
-    chunked = stored(pairs.select("a", "b", chunk.alias("chunk")), "pairs")
+    member = components(pairs)
+    sizes = member.groupBy(F.col("component").alias("_of")).agg(F.count(F.lit(1)).alias("_n"))
+    placed = pairs.join(member, F.col("a") == F.col("node"), "left").select("a", "b", F.coalesce("component", "a").alias("_c"))
+    placed = placed.join(sizes, F.col("_c") == F.col("_of"))
+    parts = F.ceil((F.col("_n") + 1) / F.lit(CELL)).cast("long")
+    sides = [F.pmod(F.xxhash64(c), parts) for c in ("a", "b")]
+    cell = F.xxhash64("_c", F.least(*sides), F.greatest(*sides))
+    chunked = stored(placed.select("a", "b", cell.alias("cell")), "pairs")
     buckets = -(-chunked.count() // BUCKET_ROWS) or 1
-    bucket = F.pmod(F.xxhash64("a", "chunk"), F.lit(buckets)).alias("bucket")
+    bucket = F.pmod("cell", F.lit(buckets)).alias("bucket")
     needed = chunked.select(bucket, F.col("a").alias("_doc")).union(chunked.select(bucket, F.col("b").alias("_doc"))).distinct()
     rows = needed.join(texts, needed["_doc"] == texts["doc"]).select("bucket", "doc", "text")
     links = chunked.select(bucket, "a", "b")
