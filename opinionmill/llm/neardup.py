@@ -7,9 +7,13 @@
    the corpus: a large region is just cut at deeper prefixes, so the depth adapts to the region.
    Each document proposes its most similar neighbours within a window and hubs of its region (members
    closest to the region's consensus), so proposals grow linearly with the documents.
-3. Proposals are confirmed on full shingle sets. The next round proposes only pairs between different
-   groups, from wider windows, and so on until a round confirms nothing new.
-4. Confirmed links become components by alternating star contraction.
+   A document whose region goes on behind its window, or with more alike neighbours than it may
+   propose, is marked: its partners may lie among those that the forest left out.
+3. Proposals are confirmed on full shingle sets. A few later rounds propose pairs between different
+   groups from wider windows, which joins most of a large group cheaply.
+4. What the forest left out, ``remaining`` finds exactly: a prefix-filter join of all marked documents
+   on their rarest shingles gives every pair of different groups that can be alike enough.
+5. Confirmed links become components by alternating star contraction.
 
 Cases: a null or empty text has no shingles and is linked with nothing; with fewer words than a
 shingle the whole sequence is one shingle; repeated rows and equal texts fall into one component; a
@@ -44,6 +48,12 @@ PROPOSE = 0.5
 CELL = 256
 BUCKET_ROWS = 1024
 ROUNDS = 4
+#: Counters of shingles by hash; they order the shingles and never decide about a pair.
+COUNTERS = 1 << 21
+#: Documents with one shingle above which they are dealt to a grid of cells.
+HOT_ROWS = 4096
+PREFIX_ROWS = 1 << 16
+PAIRS_AT_ONCE = 1 << 21
 
 _SALT = np.random.default_rng(20240229).integers(1, 1 << 63, HASHES, dtype=np.uint64) | np.uint64(1)
 SIGNED = "doc_id long, n_shingles long, set_a long, set_b long, signature binary"
@@ -113,13 +123,17 @@ def forest(representatives: DataFrame, trees: int = TREES) -> DataFrame:
 
 def _neighbours(tree: np.ndarray, signs: np.ndarray, group: np.ndarray, n_best: int, window: int) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of rows to confirm among sorted signatures: per row the ``n_best`` most similar of its
-    window and the best hubs of its region, if alike enough and of different groups."""
+    window and the best hubs of its region, if alike enough and of different groups. A row paired
+    with itself had no room for all: its region is longer than the window, or its slots were full."""
     m = len(signs)
     same = (signs[1:, :MIN_DEPTH] == signs[:-1, :MIN_DEPTH]).all(axis=1) & (tree[1:] == tree[:-1])
     region = np.concatenate([[0], np.cumsum(~same)])
     sizes = np.bincount(region)
     best = np.zeros((n_best, m), np.int64)  # agreement << 40 | other row
     least = int(PROPOSE * HASHES)
+    marked = np.zeros(m, bool)
+    longer = np.flatnonzero(region[window + 1 :] == region[: -window - 1])
+    marked[longer] = marked[longer + window + 1] = True
 
     def offer(rows: np.ndarray, others: np.ndarray, agree: np.ndarray) -> None:
         new = (agree << 40) | others
@@ -127,6 +141,7 @@ def _neighbours(tree: np.ndarray, signs: np.ndarray, group: np.ndarray, n_best:
             old = best[level, rows]
             best[level, rows] = np.maximum(old, new)
             new = np.minimum(old, new)
+        marked[rows[new > 0]] = True
 
     for offset in range(1, min(window, m - 1) + 1):
         left = np.flatnonzero((region[offset:] == region[:-offset]) & (group[offset:] != group[:-offset]))
@@ -137,6 +152,7 @@ def _neighbours(tree: np.ndarray, signs: np.ndarray, group: np.ndarray, n_best:
         offer(left, left + offset, agree)
         offer(left + offset, left, agree)
     pairs = [(np.flatnonzero(best[k]), best[k][best[k] > 0] & ((1 << 40) - 1)) for k in range(n_best)]
+    pairs.append((np.flatnonzero(marked), np.flatnonzero(marked)))
     begins = np.cumsum(sizes) - sizes
     for r in np.flatnonzero(sizes > 8):
         rows = np.arange(begins[r], begins[r] + sizes[r])
@@ -156,7 +172,7 @@ def _neighbours(tree: np.ndarray, signs: np.ndarray, group: np.ndarray, n_best:
 
 
 def proposals(sorted_rows: DataFrame, further: int = 1) -> DataFrame:
-    """Distinct pairs ``a < b`` that neighbours in some tree propose."""
+    """Distinct pairs ``a < b`` that neighbours in some tree propose, and ``a = b`` for marked rows."""
     n_best, window = BEST * further, NEIGHBOURS * further
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -172,9 +188,9 @@ def proposals(sorted_rows: DataFrame, further: int = 1) -> DataFrame:
             a, b = rep[a], rep[b]
             pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
-            held = batch.slice(max(0, batch.num_rows - window))
+            held = batch.slice(max(0, batch.num_rows - window - 1))
 
-    return sorted_rows.mapInArrow(run, "a long, b long").where("a <> b").distinct()
+    return sorted_rows.mapInArrow(run, "a long, b long").distinct()
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, width: int = WIDTH, similarity: int = SIMILARITY) -> DataFrame:
@@ -213,6 +229,110 @@ def confirmed(pairs: DataFrame, texts: DataFrame, width: int = WIDTH, similarity
     return checked.where("linked").select("a", "b")
 
 
+def prefixes(n: np.ndarray, similarity: int) -> tuple[np.ndarray, np.ndarray]:
+    """How many of the first shingles of a set of ``n`` must hold one of any set that is alike enough
+    and not smaller (or, second, not larger)."""
+    return n + 1 + -2 * similarity * n // (100 + similarity), n + 1 + -similarity * n // 100
+
+
+def _meeting(key: np.ndarray, doc: np.ndarray, group: np.ndarray, n: np.ndarray, place: np.ndarray, role: np.ndarray, similarity: int) -> np.ndarray:
+    """Distinct pairs (two rows ``a < b``) of different groups that meet in a key, one as the smaller
+    set (role 1) and one as the larger (role 2), and can still have enough shingles in common."""
+    order = np.argsort(key, kind="stable")
+    key, doc, group, n, place, role = (x[order] for x in (key, doc, group, n, place, role))
+    later = np.searchsorted(key, key, side="right") - np.arange(len(key)) - 1
+    upto, found, start = np.cumsum(later), [np.empty((2, 0), np.int64)], 0
+    while start < len(key):
+        stop = max(start + 1, int(np.searchsorted(upto, (upto[start - 1] if start else 0) + PAIRS_AT_ONCE, side="right")))
+        rows = np.arange(start, min(stop, len(key)))
+        x, y = np.repeat(rows, later[rows]), words.ragged(rows + 1, later[rows])
+        apart = group[x] != group[y]
+        x, y = x[apart], y[apart]
+        swap = (n[x] > n[y]) | ((n[x] == n[y]) & (doc[x] > doc[y]))
+        x, y = np.where(swap, y, x), np.where(swap, x, y)
+        most = np.minimum(n[x] - place[x], n[y] - place[y])
+        good = (role[x] & 1 > 0) & (role[y] & 2 > 0) & (most * (100 + similarity) >= similarity * (n[x] + n[y]))
+        a, b = doc[x[good]], doc[y[good]]
+        found.append(np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1))
+        start = stop
+    return np.unique(np.concatenate(found, axis=1), axis=1)
+
+
+def remaining(texts: DataFrame, width: int = WIDTH, similarity: int = SIMILARITY) -> DataFrame:
+    """All pairs ``a < b`` of different groups of ``texts`` (doc, group, text) that can be alike enough.
+
+    Shingles are ordered by the number of documents of their counter, and those whose counter knows one
+    group only come first. In that order two sets that are alike enough have their first common shingle
+    among the first 1/7 of the smaller and the first 1/4 of the larger; what is in common behind it
+    must suffice. So a shared boilerplate pairs nobody unless it makes up 6/7 of a document, and
+    shingles of one group pair nobody. A frequent shingle's documents are dealt to a grid of cells.
+    """
+
+    def cells(values: np.ndarray) -> np.ndarray:
+        return (_mixed(values, 0x9E3779B97F4A7C15) % np.uint64(COUNTERS)).astype(np.int64)
+
+    def counters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count, bounds = np.zeros(COUNTERS, np.int64), np.iinfo(np.int64)
+        low, high = np.full(COUNTERS, bounds.max), np.full(COUNTERS, bounds.min)
+        for batch in words.sliced(batches, "text"):
+            values, offsets = shingle_sets(batch.column("text"), width)
+            cell, group = cells(values), np.repeat(batch.column("group").to_numpy(), np.diff(offsets))
+            np.add.at(count, cell, 1)
+            np.minimum.at(low, cell, group)
+            np.maximum.at(high, cell, group)
+        used = np.flatnonzero(count)
+        for a in range(0, len(used), 1 << 16):
+            some = used[a : a + (1 << 16)]
+            columns = [pa.array(some.astype(np.int32)), *(pa.array(x[some]) for x in (count, low, high))]
+            yield pa.RecordBatch.from_arrays(columns, names=["cell", "count", "low", "high"])
+
+    known = texts.mapInArrow(counters, "cell int, count long, low long, high long").groupBy("cell")
+    known = known.agg(F.sum("count").alias("count"), F.min("low").alias("low"), F.max("high").alias("high"))
+    known = known.where("low < high").select("cell", "count").toArrow()  # at most COUNTERS rows
+    weights = np.zeros(COUNTERS, np.int64)
+    weights[known.column("cell").to_numpy()] = known.column("count").to_numpy()
+    shared = texts.sparkSession.sparkContext.broadcast(weights)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in words.sliced(batches, "text"):
+            values, offsets = shingle_sets(batch.column("text"), width)
+            sizes = np.diff(offsets)
+            owner, weight = np.repeat(np.arange(len(sizes)), sizes), shared.value[cells(values)]
+            order = np.lexsort((values, weight, owner))
+            values, weight = values[order], weight[order]
+            place = np.arange(len(values)) - offsets[:-1][owner]
+            as_smaller, as_larger = (x[owner] for x in prefixes(sizes, similarity))
+            keep = np.flatnonzero((place < as_larger) & (weight > 0))
+            doc, group = (batch.column(c).to_numpy()[owner[keep]] for c in ("doc", "group"))
+            role = np.where(place[keep] < as_smaller[keep], 3, 2)
+            columns = (values[keep], doc, group, sizes[owner[keep]], place[keep], role)
+            parts = -(-weight[keep] // HOT_ROWS)
+            own = (_mixed(doc.astype(np.uint64), 0xFF51AFD7ED558CCD) % parts.astype(np.uint64)).astype(np.int64)
+            # Cell (p, q) of a hot shingle has the smaller sets of part p and the larger ones of part q.
+            for as_, at in ((1, np.flatnonzero((parts > 1) & (role == 3))), (2, np.flatnonzero(parts > 1)), (0, np.flatnonzero(parts == 1))):
+                times = parts[at] if as_ else np.ones(len(at), np.int64)
+                at, other = np.repeat(at, times), words.ragged(np.zeros(len(at), np.int64), times)
+                key, *rest = (c[at] for c in columns)
+                p, q = (own[at], other) if as_ == 1 else (other, own[at])
+                rest[-1] = np.full(len(at), as_) if as_ else rest[-1]
+                key = _mixed(key + (p * parts[at] + q).astype(np.uint64) * np.uint64(0xC4CEB9FE1A85EC53), 0xFF51AFD7ED558CCD) if as_ else key
+                for a in range(0, len(at), PREFIX_ROWS):
+                    part = slice(a, a + PREFIX_ROWS)
+                    arrays = [pa.array(c[part].view(np.int64)) for c in (key, *rest[:2])] + [pa.array(c[part].astype(np.int32)) for c in rest[2:]]
+                    yield pa.RecordBatch.from_arrays(arrays, names=["key", "doc", "group", "n", "place", "role"])
+
+    rows = stored(texts.mapInArrow(run, "key long, doc long, group long, n int, place int, role int"), "prefixes")
+    buckets = -(-rows.count() // PREFIX_ROWS) or 1
+
+    def meet(table: pa.Table) -> pa.Table:
+        columns = [table.column(c).to_numpy().astype(np.int64) for c in ("key", "doc", "group", "n", "place", "role")]
+        pairs = _meeting(*columns, similarity)
+        return pa.table({"a": pairs[0], "b": pairs[1]})
+
+    met = rows.withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(buckets))).groupBy("bucket").applyInArrow(meet, "a long, b long")
+    return met.distinct()
+
+
 def components(links: DataFrame) -> DataFrame:
     """``node, component`` (the smallest node reachable) for every node of ``links`` (columns a, b).
 
@@ -247,10 +367,10 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, similarity: int = SIMIL
     full = signed.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
     sets = full.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("rep"), F.first("signature").alias("signature"))
     sets = stored(sets, "sets")
-    # First all representatives; from then on only those that some tree found alike, with their texts at hand.
+    # First all representatives; from then on only those that some tree found alike or marked, with their texts at hand.
     new = stored(proposals(forest(sets.withColumn("group", F.col("rep")), trees)), "proposals")
-    alike = new.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    alike = stored(alike, "alike")
+    marked, alike = new.where("a = b").select(F.col("a").alias("_marked")), new.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    new, alike = new.where("a <> b"), stored(alike, "alike")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc"), F.col("text").cast("string"))
     texts = texts.join(alike, texts["doc"] == alike["node"], "left_semi").dropDuplicates(["doc"])
     texts = stored(texts, "texts")
@@ -259,12 +379,20 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, similarity: int = SIMIL
     for _ in range(rounds - 1):
         rows = sets.join(alike, sets["rep"] == alike["node"], "left_semi")
         rows = rows.join(groups, rows["rep"] == groups["node"], "left").withColumn("group", F.coalesce("component", "rep"))
-        new = stored(proposals(forest(rows, trees), FURTHER).join(tried, ["a", "b"], "left_anti"), "proposals")
+        new = stored(proposals(forest(rows, trees), FURTHER).where("a <> b").join(tried, ["a", "b"], "left_anti"), "proposals")
         found = stored(confirmed(new, texts, width, similarity), "links")
         if not found.limit(1).count():
             break
         tried, links = tried.union(new), links.union(found)
         groups = components(links)
+    if marked.limit(1).count():
+        left = texts.join(marked, texts["doc"] == marked["_marked"], "left_semi")
+        left = left.join(groups, left["doc"] == groups["node"], "left").select("doc", F.coalesce("component", "doc").alias("group"), "text")
+        left = stored(left, "marked")
+        new = stored(remaining(left, width, similarity).join(tried, ["a", "b"], "left_anti"), "proposals")
+        found = stored(confirmed(new, texts, width, similarity), "links")
+        if found.limit(1).count():
+            groups = components(links.union(found))
     labels = groups
     named = sets.select(F.col("set_a").alias("_a"), F.col("set_b").alias("_b"), "rep")
     named = named.join(labels, named["rep"] == labels["node"], "left").select("_a", "_b", F.coalesce("component", "rep").alias("_component"))

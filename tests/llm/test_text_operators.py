@@ -170,3 +170,40 @@ def test_components_of_a_long_path_and_a_star(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 30)]
     found = {r.node: r.component for r in neardup.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert all(found[i] == 0 for i in range(1, 41)) and all(found[100 + i] == 100 for i in range(1, 30))
+
+
+def boilerplate_pages(n_pairs, n_shared=430, n_own=80):
+    """Pages of one template with similarity 0.72 to each other; pages 2 k and 2 k + 1 are real links at 0.776."""
+    shared = [f"s{i}" for i in range(n_shared)]
+    pages = []
+    for k in range(n_pairs):
+        for side in (0, 1):
+            own = [f"p{k}x{i}" if i < 20 else f"p{k}x{i}side{side}" for i in range(n_own)]
+            pages.append((2 * k + side, " ".join(shared + own)))
+    return pages
+
+
+def test_near_duplicates_in_a_template_larger_than_the_window(documents):
+    texts = boilerplate_pages(400)
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for _, t in texts[:3]]
+    assert len(sets[0] & sets[1]) / len(sets[0] | sets[1]) >= 0.75 > len(sets[0] & sets[2]) / len(sets[0] | sets[2]) > 0.7
+    found = rows_of(neardup.near_duplicates(documents(*texts)))
+    assert all(found[d].component_id == d - d % 2 for d, _ in texts)
+
+
+def test_remaining_pairs_match_plain_python_also_in_cells(spark, monkeypatch):
+    rng = random.Random(5)
+    templates = [prose(rng, 120).split() for _ in range(3)]
+    rows = []
+    for d in range(150):
+        base = list(rng.choice(templates)) + prose(rng, rng.randrange(0, 25), 10**6).split()
+        for _ in range(rng.randrange(0, 6)):
+            base[rng.randrange(len(base))] = f"new{rng.randrange(99999)}"
+        rows.append((d, d // 4, " ".join(base)))
+    docs = spark.createDataFrame(rows, "doc long, group long, text string")
+    sets = {d: {tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for d, _, t in rows}
+    alike = {(a, b) for a in sets for b in sets if a < b and a // 4 != b // 4 and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])}
+    for hot in (4096, 7):
+        monkeypatch.setattr(neardup, "HOT_ROWS", hot)
+        found = neardup.remaining(docs)
+        assert alike and {tuple(r) for r in neardup.confirmed(found, docs).collect()} == alike
