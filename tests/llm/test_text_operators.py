@@ -207,3 +207,9 @@ def test_remaining_pairs_match_plain_python_also_in_cells(spark, monkeypatch):
         monkeypatch.setattr(neardup, "HOT_ROWS", hot)
         found = neardup.remaining(docs)
         assert alike and {tuple(r) for r in neardup.confirmed(found, docs).collect()} == alike
+
+
+def test_near_duplicates_need_no_later_round(documents):
+    texts = boilerplate_pages(120)
+    found = rows_of(neardup.near_duplicates(documents(*texts), rounds=1))
+    assert all(found[d].component_id == d - d % 2 for d, _ in texts)
