@@ -172,15 +172,26 @@ def _neighbours(tree: np.ndarray, signs: np.ndarray, group: np.ndarray, n_best:
 
 
 def proposals(sorted_rows: DataFrame, further: int = 1) -> DataFrame:
-    """Distinct pairs ``a < b`` that neighbours in some tree propose, and ``a = b`` for marked rows."""
+    """Distinct pairs ``a < b`` that neighbours in some tree propose, and ``a = b`` for marked rows.
+
+    Rows of the region at a border of a range partition may have neighbours behind it: they are marked.
+    """
     n_best, window = BEST * further, NEIGHBOURS * further
 
+    def border(batch: pa.RecordBatch, at: int) -> pa.RecordBatch:
+        key, tree = batch.column("key").to_pylist(), batch.column("tree").to_pylist()
+        region = [tree[i] == tree[at] and key[i][: 2 * MIN_DEPTH] == key[at][: 2 * MIN_DEPTH] for i in range(len(key))]
+        rep = batch.column("rep").filter(pa.array(region))
+        return pa.RecordBatch.from_arrays([rep, rep], names=["a", "b"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.RecordBatch | None = None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            if held is not None:
+            if held is None:
+                yield border(batch.slice(0, window + 1), 0)
+            else:
                 batch = pa.concat_batches([held, batch])
             signs = np.frombuffer(b"".join(batch.column("key").to_pylist()), ">u2").astype(np.uint16).reshape(-1, HASHES)
             rep = batch.column("rep").to_numpy()
@@ -189,6 +200,8 @@ def proposals(sorted_rows: DataFrame, further: int = 1) -> DataFrame:
             pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
             held = batch.slice(max(0, batch.num_rows - window - 1))
+        if held is not None:
+            yield border(held, -1)
 
     return sorted_rows.mapInArrow(run, "a long, b long").distinct()
 

@@ -213,3 +213,13 @@ def test_near_duplicates_need_no_later_round(documents):
     texts = boilerplate_pages(120)
     found = rows_of(neardup.near_duplicates(documents(*texts), rounds=1))
     assert all(found[d].component_id == d - d % 2 for d, _ in texts)
+
+
+def test_rows_on_both_sides_of_a_partition_border_are_marked(spark):
+    key = bytearray(range(2 * neardup.HASHES))
+    rows = [(0, key, i, i) for i in range(4)]
+    one = neardup.proposals(spark.createDataFrame(rows, "tree int, key binary, rep long, group long").coalesce(1))
+    two = neardup.proposals(spark.createDataFrame(rows, "tree int, key binary, rep long, group long").repartition(2))
+    every = {(a, b) for a in range(4) for b in range(a + 1, 4)}
+    assert {tuple(r) for r in one.where("a <> b").collect()} == every
+    assert {r.a for r in two.where("a = b").collect()} == set(range(4))
