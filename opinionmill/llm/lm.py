@@ -194,7 +194,7 @@ class Trie:
 
     Levels: word hashes; pointers from each context to its successors; the successors' words; and
     the bigrams, each ``context * words + rank of the successor``, so that a search inside a context
-    is a successor search from its pointer's range on.
+    is one successor search in this flat list. Lookups do not read the pointers, and the order is 2.
     """
 
     def __init__(self, folder: str, nodes: np.ndarray, n_hot: int, context: np.ndarray, following: np.ndarray, p: np.ndarray):
