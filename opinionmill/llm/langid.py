@@ -5,8 +5,9 @@ transitions; forward-backward gives each word its distribution over languages. A
 the one with the largest mean probability over its words, also when it switches between several.
 A chain has at most ``CHAIN`` words; a longer text is several chains, no word is left out.
 
-Training: up to ``per_lang`` labelled texts of every language, whole, in the order of a hash of the
-id, cut into chains; half of the chains switch to another language midway, so that the transitions
+Training: up to ``per_lang`` labelled texts of every language in the order of a hash of the id, cut into
+chains; of these up to ``per_lang_chains`` of every language, one of each of its texts in turn, so that
+texts are whole unless a language has more, and none takes another's place; half of the chains switch to another language midway, so that the transitions
 are those of code-switched text.
 
 Cases: a null text or one without a letter is ``und`` with score 0; null languages teach nothing;
@@ -29,7 +30,9 @@ CHAIN = 64
 SIZES = (2, 3, 4)
 BUCKETS = 1 << 18
 PER_LANG = 300
+#: Training chains of one language; no limit over all languages.
 CHAINS = 16_000
+CHAINS_AT_ONCE = 4096
 STEPS = 40
 UNKNOWN = "und"
 
@@ -79,14 +82,24 @@ def forward_backward(scores: np.ndarray, length: np.ndarray, moves: np.ndarray,
     return marginal, expected
 
 
-def fit(texts: pa.Array, langs: list[str], seed: int = 42) -> tuple[list[str], np.ndarray, np.ndarray]:
+def chosen_chains(lang: np.ndarray, number: np.ndarray, most: int, rng: np.random.Generator) -> np.ndarray:
+    """Up to ``most`` chains of every language in random order, taken from its texts in turn."""
+    some = rng.permutation(len(lang))
+    order = np.lexsort((number[some], lang[some]))
+    of = lang[some][order]
+    rank = np.empty(len(some), np.int64)
+    rank[order] = np.arange(len(some)) - np.searchsorted(of, of)
+    return some[rank < most]
+
+
+def fit(texts: pa.Array, langs: list[str], seed: int = 42, per_lang_chains: int = CHAINS) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Languages, feature weights and transition scores by gradient steps on the log likelihood."""
     names = sorted(set(langs))
     k, rng = len(names), np.random.default_rng(seed)
     of_text = np.searchsorted(names, langs)
     codes, distinct, first = words.coded(texts, lower=True)
     text, start, length = chains(first)
-    some = rng.permutation(len(text))[:CHAINS]
+    some = chosen_chains(of_text[text], (start - first[:-1][text]) // CHAIN, per_lang_chains, rng)
     text, start, length = text[some], start[some], length[some]
     at = start[:, None] + np.minimum(np.arange(CHAIN), length[:, None] - 1)
     word, label = codes[at], np.repeat(of_text[text][:, None], CHAIN, axis=1)
@@ -98,18 +111,23 @@ def fit(texts: pa.Array, langs: list[str], seed: int = 42) -> tuple[list[str], n
     inside = np.arange(CHAIN) < length[:, None]
     features, begins = words.subwords(distinct, SIZES, BUCKETS)
     counts = np.diff(np.append(begins, len(features)))
-    truth, before, after = np.eye(k)[label], label[:, :-1], label[:, 1:]
+    before, after = label[:, :-1], label[:, 1:]
     both = inside[:, 1:]
     seen = np.bincount(before[both] * k + after[both], minlength=k * k).reshape(k, k).astype(float)
     weights, moves = np.zeros((BUCKETS, k), np.float32), np.zeros((k, k))
     squares, move_squares = np.full((BUCKETS, k), 1e-6, np.float32), np.full((k, k), 1e-6)
     for _ in range(STEPS):
         scores = np.stack([np.add.reduceat(weights[features, j], begins) for j in range(k)], axis=1)
-        marginal, expected = forward_backward(scores[word], length, moves, pairs=True)
-        gap = (truth - marginal)[inside] / inside.sum()
+        per_word, expected = np.zeros((k, len(distinct))), np.zeros((k, k))
+        for a in range(0, len(text), CHAINS_AT_ONCE):
+            part = slice(a, a + CHAINS_AT_ONCE)
+            marginal, moved = forward_backward(scores[word[part]], length[part], moves, pairs=True)
+            gap = (np.eye(k)[label[part]] - marginal)[inside[part]] / inside.sum()
+            expected += moved
+            for j in range(k):
+                per_word[j] += np.bincount(word[part][inside[part]], weights=gap[:, j], minlength=len(distinct))
         for j in range(k):
-            per_word = np.bincount(word[inside], weights=gap[:, j], minlength=len(distinct))
-            slope = np.bincount(features, weights=np.repeat(per_word, counts), minlength=BUCKETS) - 1e-7 * weights[:, j]
+            slope = np.bincount(features, weights=np.repeat(per_word[j], counts), minlength=BUCKETS) - 1e-7 * weights[:, j]
             squares[:, j] += slope**2 * 1e6
             weights[:, j] += 0.2 * slope * 1e3 / np.sqrt(squares[:, j])
         slope = (seen - expected) / max(both.sum(), 1)
@@ -127,14 +145,14 @@ def training_rows(docs: DataFrame, learn: Column, per_lang: int = PER_LANG) -> D
     return labelled.join(F.broadcast(chosen), F.col("doc_id") == F.col("_id"), "left_semi").select("text", "lang")
 
 
-def label_languages(docs: DataFrame, learn: Column, per_lang: int = PER_LANG, with_runs: bool = False) -> DataFrame:
+def label_languages(docs: DataFrame, learn: Column, per_lang: int = PER_LANG, with_runs: bool = False, per_lang_chains: int = CHAINS) -> DataFrame:
     """``docs`` with ``lang_pred`` and ``score``; ``with_runs`` adds ``runs``, the word ranges of each language.
 
     ``learn`` marks the rows whose ``lang`` may be learned from.
     """
     sample = training_rows(docs, learn, per_lang).toArrow()
     langs = sample.column("lang").to_pylist()
-    model = fit(sample.column("text").combine_chunks(), langs) if langs else ([], np.zeros((1, 0), np.float32), np.zeros((0, 0)))
+    model = fit(sample.column("text").combine_chunks(), langs, per_lang_chains=per_lang_chains) if langs else ([], np.zeros((1, 0), np.float32), np.zeros((0, 0)))
     shared = docs.sparkSession.sparkContext.broadcast(model)
     docs = docs.drop("lang_pred", "score", "runs")
     rows = docs.withColumn("_text", F.when(F.col("text").rlike(r"\p{L}"), F.col("text")))

@@ -185,3 +185,12 @@ def test_best_windows():
     top, begin = toxicity.best_windows(values, first)
     assert top.tolist() == [0.0, 1.0, 4.5, 0.0] and begin[2] == 10
     assert pa.array(top).null_count == 0
+
+
+def test_long_texts_of_one_language_take_no_chains_of_another():
+    lang = np.repeat([0, 1], [900, 30])
+    number = np.append(np.repeat(np.arange(90), 10), np.zeros(30, np.int64))
+    some = langid.chosen_chains(lang, number, 50, np.random.default_rng(1))
+    assert sorted(lang[some].tolist()) == [0] * 50 + [1] * 30
+    assert sorted(number[some][lang[some] == 0].tolist()) == sorted(list(range(5)) * 10)
+    assert len(langid.chosen_chains(lang, number, 16_000, np.random.default_rng(1))) == 930
