@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from opinionmill.llm import chat, langid, lm, mixing, neardup, packing, quality, substrings, topk, toxicity
+from opinionmill.llm import chat, langid, lm, mixing, neardup, packing, quality, substrings, token_counts, topk, toxicity
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -226,3 +226,9 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = toxicity.score_toxicity(docs, table(spark, sf_dir, "labels"), fold(5) != 0)
     return found.select("doc_id", (fold(5) == 0).alias("held_out"), "score", "predicted")
+
+
+@query("op11_token_counts")
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The number of tokens of every document."""
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
