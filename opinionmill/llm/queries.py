@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from opinionmill.llm import chat, langid, lm, mixing, neardup, packing, quality, substrings, token_counts, topk, toxicity
+from opinionmill.llm import chat, langid, lm, merkle, mixing, neardup, packing, quality, substrings, token_counts, topk, toxicity
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -232,3 +232,73 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The number of tokens of every document."""
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+#: Steps of crc32 for all bytes, and a function body that needs ``tab`` (these steps) and lists of bytes.
+SQL_CRC_STEPS = """crc AS (SELECT list(s ORDER BY i) AS tab FROM (SELECT i, list_reduce(list_prepend(i, [0, 0, 0, 0, 0, 0, 0, 0]::UBIGINT[]),
+    lambda c, b: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) AS s FROM (SELECT unnest(range(256))::UBIGINT AS i)))"""
+
+
+def sql_crc(bytes_: str) -> str:
+    return f"xor(list_reduce(list_prepend(4294967295::UBIGINT, {bytes_}), lambda c, b: xor(c // 256, tab[(xor(c, b) % 256 + 1)::BIGINT])), 4294967295)"
+
+
+def sql_framed(column: str) -> str:
+    return f"coalesce(strlen(CAST({column} AS VARCHAR)) || ':' || {column}, '-')"
+
+
+SQL_LOWERED = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+@query(
+    "op13_merkle",
+    f"""
+    WITH RECURSIVE {SQL_CRC_STEPS},
+    digits AS (SELECT *, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: ascii(c)::UBIGINT) AS bs FROM documents),
+    leaf AS (
+      SELECT doc_id, lang, {" || ".join(map(sql_framed, ("doc_id", "source", "lang", "n_chars")))} AS head, {sql_framed("text")} AS body,
+        CASE WHEN {sql_crc("bs")} % 3 = 0 THEN {sql_framed(SQL_LOWERED)} ELSE body END AS other
+      FROM digits, crc
+    ),
+    hashed AS (SELECT doc_id, lang, sha256(head || body) AS leaf, sha256(head || other) AS claimed FROM leaf),
+    placed AS (
+      SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf, claimed) - 1 AS i, count(*) OVER (PARTITION BY lang) AS n,
+        dense_rank() OVER (ORDER BY lang NULLS FIRST) - 1 AS g
+      FROM hashed
+    ),
+    up AS (
+      SELECT 0 AS h, g, i, n, leaf AS d FROM placed
+      UNION ALL SELECT h + 1, g, i // 8, (n + 7) // 8, sha256(string_agg(d, '' ORDER BY i)) FROM up WHERE n > 1 GROUP BY h, g, i // 8, (n + 7) // 8
+    ),
+    sub AS (SELECT g, d FROM up WHERE n = 1),
+    top AS (
+      SELECT 0 AS h, g AS i, (SELECT count(*) FROM sub) AS n, d FROM sub
+      UNION ALL SELECT h + 1, i // 8, (n + 7) // 8, sha256(string_agg(d, '' ORDER BY i)) FROM top WHERE n > 1 GROUP BY h, i // 8, (n + 7) // 8
+    ),
+    -- Levels of the upper tree follow those of a group's own tree as levels 100 and on.
+    runs AS (
+      SELECT h, g, i // 8 AS run, list(d ORDER BY i) AS ds FROM up WHERE n > 1 GROUP BY h, g, i // 8
+      UNION ALL SELECT 100 + h, 0, i // 8, list(d ORDER BY i) FROM top WHERE n > 1 GROUP BY h, i // 8
+    ),
+    heights AS (SELECT g, max(h) AS most FROM up GROUP BY g),
+    walk AS (
+      SELECT row_number() OVER () AS r, p.g AS own, CASE WHEN most = 0 THEN 100 ELSE 0 END AS h, CASE WHEN most = 0 THEN 0 ELSE p.g END AS g,
+        CASE WHEN most = 0 THEN p.g ELSE i END AS i, most, doc_id, leaf, claimed AS f, '' AS proof
+      FROM placed p JOIN heights USING (g)
+      UNION ALL
+      SELECT r, own, CASE WHEN w.h + 1 = most THEN 100 ELSE w.h + 1 END, CASE WHEN w.h + 1 >= most THEN 0 ELSE w.g END,
+        CASE WHEN w.h + 1 = most THEN own ELSE w.i // 8 END, most, doc_id, leaf,
+        sha256(array_to_string(ds[1 : w.i % 8], '') || f || array_to_string(ds[w.i % 8 + 2 :], '')),
+        proof || array_to_string(ds[1 : w.i % 8], '') || array_to_string(ds[w.i % 8 + 2 :], '')
+      FROM walk w JOIN runs x ON w.h = x.h AND w.g = x.g AND w.i // 8 = x.run
+    ),
+    ends AS (SELECT * FROM walk QUALIFY row_number() OVER (PARTITION BY r ORDER BY h DESC) = 1)
+    SELECT doc_id, leaf, s.d AS subroot, t.d AS root, sha256(proof) AS proof_sha256, f AS folded_root, f = t.d AS verified
+    FROM ends e JOIN sub s ON e.own = s.g JOIN top t ON t.n = 1
+    """,
+)
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The manifest entry of every document, verified after a third of the texts was lower-cased."""
+    lowered = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    tampered = {"text": F.when(fold(3) == 0, lowered).otherwise(F.col("text"))}
+    return merkle.checked(merkle.manifest(table(spark, sf_dir, "documents"), tampered))
