@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from opinionmill.llm import chat, langid, lm, merkle, mixing, neardup, packing, quality, substrings, token_counts, topk, toxicity
+from opinionmill.llm import chat, langid, lm, merkle, mixing, neardup, packing, quality, spelling, substrings, token_counts, topk, toxicity
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -302,3 +302,39 @@ def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     lowered = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     tampered = {"text": F.when(fold(3) == 0, lowered).otherwise(F.col("text"))}
     return merkle.checked(merkle.manifest(table(spark, sf_dir, "documents"), tampered))
+
+
+@query(
+    "op12_spelling_variants",
+    f"""
+    WITH RECURSIVE {SQL_CRC_STEPS},
+    t AS (
+      SELECT doc_id, unnest(regexp_extract_all({SQL_LOWERED}, '[a-zÀ-ÿ]+')) AS w, count(*) AS c
+      FROM documents GROUP BY ALL HAVING length(w) >= 5
+    ),
+    b AS (
+      SELECT w, c, list_concat(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: ascii(x)::UBIGINT), [58::UBIGINT],
+        flatten(list_transform(string_split(w, ''), lambda x: CASE WHEN unicode(x) < 128 THEN [unicode(x)::UBIGINT] ELSE [195, unicode(x) - 64]::UBIGINT[] END))) AS bs
+      FROM t
+    ),
+    h AS (SELECT w, c, {sql_crc("bs")} AS h FROM b, crc),
+    e AS (SELECT CASE WHEN h % 97 = 0 THEN left(w, (h % length(w))::BIGINT) || substr(w, (h % length(w))::BIGINT + 2) ELSE w END AS word, c FROM h),
+    v AS (SELECT word, CAST(sum(c) AS BIGINT) AS n FROM e WHERE length(word) >= 5 GROUP BY word HAVING sum(c) >= 3),
+    p AS (SELECT word, n, i, left(word, i) AS a, substr(word, i + 2) AS z FROM (SELECT word, n, unnest(range(length(word))) AS i FROM v)),
+    pair AS (
+      SELECT x.word AS w, y.word AS o, y.n AS o_n FROM p x JOIN p y ON x.i = y.i AND x.a = y.a AND x.z = y.z AND x.word <> y.word
+      UNION SELECT x.word, y.word, y.n FROM p x JOIN v y ON x.a || x.z = y.word
+      UNION SELECT y.word, x.word, x.n FROM p x JOIN v y ON x.a || x.z = y.word
+    ),
+    best AS (SELECT w, count(*) AS n_near, max(o_n) AS best_n, min(o) FILTER (o_n = top) AS other FROM (SELECT *, max(o_n) OVER (PARTITION BY w) AS top FROM pair) GROUP BY w),
+    f AS (
+      SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN best_n >= 2 * n THEN other END AS form, CASE WHEN best_n >= 2 * n THEN best_n END AS form_n
+      FROM v LEFT JOIN best ON w = word
+    ),
+    walk AS (SELECT word, form, word AS at, form AS next FROM f UNION ALL SELECT k.word, k.form, f.word, f.form FROM walk k JOIN f ON k.next = f.word)
+    SELECT f.word, f.form, k.at AS root, n, n_near, form_n FROM f JOIN walk k ON f.word = k.word WHERE k.next IS NULL
+    """,
+)
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every frequent word of all documents with the word it is probably a variant of."""
+    return spelling.variants(spelling.count_words(table(spark, sf_dir, "documents"), delete_every=97))
