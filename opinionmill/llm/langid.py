@@ -12,7 +12,8 @@ are those of code-switched text.
 
 Cases: a null text or one without a letter is ``und`` with score 0; null languages teach nothing;
 without labelled rows everything is ``und``; repeated rows are labelled alike; an empty table gives
-an empty result; other columns pass only where asked for.
+an empty result; a row without doc_id teaches nothing and is labelled like any other; other columns,
+whatever their names, pass unchanged (those named like a result are replaced).
 """
 
 from __future__ import annotations
@@ -21,9 +22,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from opinionmill.llm import words
+from opinionmill.llm.storage import put_back, set_apart, with_fields
 from opinionmill.operators.relational import top_k_per_group
 
 CHAIN = 64
@@ -155,14 +158,13 @@ def label_languages(docs: DataFrame, learn: Column, per_lang: int = PER_LANG, wi
     model = fit(sample.column("text").combine_chunks(), langs, per_lang_chains=per_lang_chains) if langs else ([], np.zeros((1, 0), np.float32), np.zeros((0, 0)))
     shared = docs.sparkSession.sparkContext.broadcast(model)
     docs = docs.drop("lang_pred", "score", "runs")
-    rows = docs.withColumn("_text", F.when(F.col("text").rlike(r"\p{L}"), F.col("text")))
-    own = docs.columns
+    rows = set_apart(docs).withColumn("spoken", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
     run_type = pa.struct({"start": pa.int64(), "stop": pa.int64(), "lang": pa.string()})
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, weights, moves = shared.value
-        for batch in words.sliced(batches, "_text"):
-            codes, distinct, first = words.coded(batch.column("_text"), lower=True)
+        for batch in words.sliced(batches, "text"):
+            codes, distinct, first = words.coded(pc.if_else(batch.column("spoken"), batch.column("text"), None), lower=True)
             n, k = batch.num_rows, len(names)
             share, best = np.zeros((n, max(k, 1))), np.zeros(len(codes), np.int64)
             if k and len(codes):
@@ -178,10 +180,10 @@ def label_languages(docs: DataFrame, learn: Column, per_lang: int = PER_LANG, wi
                         share[:, j] += np.bincount(owner, weights=marginal[inside][:, j], minlength=n)
                     best[at[inside]] = marginal[inside].argmax(axis=1)
                 share /= np.maximum(np.diff(first), 1)[:, None]
-            known = batch.column("_text").is_valid().to_numpy(zero_copy_only=False) & bool(k) & (np.diff(first) > 0)
+            known = batch.column("spoken").to_numpy(zero_copy_only=False) & bool(k) & (np.diff(first) > 0)
             top = share.argmax(axis=1)
             langs = [names[j] if ok else UNKNOWN for j, ok in zip(top, known)]
-            columns = [batch.column(c) for c in own] + [pa.array(langs), pa.array(np.where(known, np.clip(share.max(axis=1), 0, 1), 0.0))]
+            columns = [batch.column("row"), batch.column("text"), pa.array(langs), pa.array(np.where(known, np.clip(share.max(axis=1), 0, 1), 0.0))]
             if with_runs:
                 found = []
                 for i in range(n):
@@ -189,7 +191,7 @@ def label_languages(docs: DataFrame, learn: Column, per_lang: int = PER_LANG, wi
                     edges = np.append(np.flatnonzero(np.diff(b, prepend=-1)), len(b)) if known[i] else []
                     found.append([{"start": int(s), "stop": int(e), "lang": names[b[s]]} for s, e in zip(edges[:-1], edges[1:])])
                 columns.append(pa.array(found, pa.list_(run_type)))
-            yield pa.RecordBatch.from_arrays(columns, names=[*own, "lang_pred", "score", *(["runs"] if with_runs else [])])
+            yield pa.RecordBatch.from_arrays(columns, names=["row", "text", "lang_pred", "score", *(["runs"] if with_runs else [])])
 
-    schema = f"{docs.schema.simpleString()[7:-1]}, lang_pred string, score double"
-    return rows.mapInArrow(predict, schema + (", runs array<struct<start:long,stop:long,lang:string>>" if with_runs else ""))
+    fields = "lang_pred string, score double" + (", runs array<struct<start:long,stop:long,lang:string>>" if with_runs else "")
+    return put_back(rows.mapInArrow(predict, with_fields(rows.select("row", "text").schema, fields)), docs)

@@ -11,7 +11,8 @@ as it can, so the errors of shards stay at a few words and do not depend on a lo
 
 Cases: null text has size 0; a null source is a source of its own, last in order; a source whose
 size is 0 gets target 0; repeated rows are decided each for itself; an empty table gives an empty
-result; other columns are ignored.
+result; other columns, whatever their names, are ignored or passed on unchanged; rows of one id (or
+without one) are spread by their texts, so only equal rows of one source share a shard.
 """
 
 from __future__ import annotations
@@ -23,12 +24,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from opinionmill.llm.quality import words_of
-from opinionmill.llm.storage import stored
+from opinionmill.llm.storage import quoted, stored
 from opinionmill.operators.relational import number_rows, sorted_table
 
 WEIGHTS = (1, 2, 3)
 MOST_COPIES = 3
 SHARD_ROWS = 2048
+MOST_TASKS = 10_000
 _EPS = 1e-9
 
 
@@ -118,7 +120,7 @@ def decider(seed: int):
     """The function that flies and lands one shard of one source."""
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["size", "doc_id"], ascending=[False, True], kind="stable", ignore_index=True)
+        part = part.sort_values(["size", "doc_id", "_mark"], ascending=[False, True, True], kind="stable", ignore_index=True)
         rng = np.random.default_rng([seed, int(part["_key"].iloc[0]) & 0x7FFFFFFF])
         pi, size = part["_pi"].to_numpy(dtype=float), part["size"].to_numpy(dtype=float)
         balance = np.stack([np.ones(len(pi)), size / max(size.max(), 1.0)], axis=1)
@@ -131,7 +133,8 @@ def mix(
     docs: DataFrame, weights: Sequence[float] = WEIGHTS, most: int = MOST_COPIES, seed: int = 42, shard_rows: int = SHARD_ROWS
 ) -> DataFrame:
     """``doc_id, source, size, source_size, target, copies`` for every row of ``docs``."""
-    sizes = docs.select(F.col("doc_id").cast("long"), "source", text_size(F.col("text")).alias("size"))
+    text = F.col("text").cast("string")
+    sizes = docs.select(F.col("doc_id").cast("long"), "source", text_size(text).alias("size"), F.xxhash64(text).alias("_mark"))
     sizes = stored(sizes, "sizes")
     targets = source_targets(sizes, weights, most)
     wanted = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
@@ -145,10 +148,13 @@ def mix(
         .withColumn("_parts", F.ceil(F.col("n_docs") / F.lit(shard_rows)).cast("long"))
         .drop("_source")
     )
-    part = F.pmod(F.xxhash64("doc_id"), F.col("_parts"))
+    # Equal or null ids are spread by their texts; only rows equal in both share a shard for sure.
+    part = F.pmod(F.xxhash64("doc_id", "_mark"), F.col("_parts"))
     rest = rows.where(F.col("_pi") > _EPS)
     rest = rest.withColumn("_key", F.xxhash64(F.coalesce("source", F.lit("")), F.col("source").isNull(), part))
-    flown = rest.groupBy("_key").applyInPandas(decider(seed), rest.schema)
+    # The rows are small but their decisions are not: as many tasks as shards, not as bytes suggest.
+    shards = targets.agg(F.sum(F.ceil(F.col("n_docs") / F.lit(shard_rows)))).first()[0] or 1
+    flown = rest.repartition(int(min(shards, MOST_TASKS)), "_key").groupBy("_key").applyInPandas(decider(seed), rest.schema)
     out = rows.where(F.col("_pi") <= _EPS).withColumn("_pi", F.lit(0.0)).unionByName(flown.drop("_key"))
     return out.select("doc_id", "source", "size", "source_size", "target", (F.col("copies") + F.col("_pi").cast("int")).alias("copies"))
 
@@ -167,8 +173,12 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
         rows = rows.withColumns({names[0]: F.xxhash64(*parts), names[1]: F.xxhash64(F.lit(1), *parts)})
         return rows.withColumn(names[2], F.row_number().over(Window.partitionBy(names[0]).orderBy(names[1], order)))
 
-    decided = marked(mix(docs, **options), F.col("copies"), "_key", "_check", "_number").select("_key", "_check", "_number", "copies")
-    rows = marked(docs, F.col("n_chars") if "n_chars" in docs.columns else F.lit(1), "_own", "_own_check", "_own_number")
+    decided = marked(mix(docs, **options), F.col("copies"), "_key", "_check", "_number")
+    decided = decided.select("_key", "_check", "_number", F.col("copies").alias("_copies"))
+    # The user's row is kept apart, so no name in it can clash.
+    order = F.col("n_chars") if "n_chars" in docs.columns else F.lit(1)
+    rows = docs.select(F.struct(*map(quoted, docs.columns)).alias("row"), "doc_id", "source", order.alias("order"))
+    rows = marked(rows, F.col("order"), "_own", "_own_check", "_own_number")
     same = (F.col("_check").bitwiseXOR(F.col("_own_check")) == 0) & (F.col("_number") - F.col("_own_number") == 0)
-    joined = rows.join(decided, (F.col("_own") == F.col("_key")) & same).where("copies > 0")
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
+    joined = rows.join(decided, (F.col("_own") == F.col("_key")) & same).where("_copies > 0")
+    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select("row.*")

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from opinionmill.llm import words
-from opinionmill.llm.storage import stored
+from opinionmill.llm.storage import quoted, stored, unused
 from opinionmill.llm.substrings import window_hashes
 
 WIDTH = 5
@@ -416,8 +416,11 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, similarity: int = SIMIL
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """One row of every component, that of the smallest id; rows without an id all stay."""
+    """One row of every component, that of the smallest id; rows without an id all stay, and so do rows of
+    one id with different texts."""
     kept = near_duplicates(docs, **options).where("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_id")).distinct()
     named = docs.where(F.col("doc_id").isNotNull())
-    one = named.join(kept, named["doc_id"] == kept["_id"], "left_semi").dropDuplicates(["doc_id"])
+    mark = unused(docs, "_mark")
+    one = named.join(kept, named["doc_id"] == kept["_id"], "left_semi").withColumn(mark, F.xxhash64("text"))
+    one = one.dropDuplicates(["doc_id", mark]).select(*map(quoted, docs.columns))
     return one.unionByName(docs.where(F.col("doc_id").isNull()))

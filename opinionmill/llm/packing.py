@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, functions as F
 from tokenizers import Tokenizer
 
 from opinionmill.llm import words
-from opinionmill.llm.storage import stored
+from opinionmill.llm.storage import quoted, stored, with_fields
 
 CAPACITY = 1024
 END_ID = 2
@@ -198,7 +198,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, shard_pieces: int = SHARD_
     full = made.where(F.col("length") >= capacity).select(
         *columns, (F.monotonically_increasing_id() * 2).alias("sequence_id"), F.lit(0).cast("long").alias("offset")
     )
-    schema = f"{made.select(*columns).schema.simpleString()[7:-1]},sequence_id:bigint,offset:bigint,gap:bigint"
+    schema = with_fields(made.select(*map(quoted, columns)).schema, "sequence_id long, offset long, gap long")
     done, rest, base = [full], made.where(F.col("length") < capacity), 0
     for level in range(levels):
         n = rest.count()
@@ -206,7 +206,8 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, shard_pieces: int = SHARD_
             break
         shards = -(-n // shard_pieces)
 
-        key = F.pmod(F.xxhash64("doc_id", "piece", F.lit(level)), F.lit(shards)).alias("shard")
+        # The checksum and place spread the pieces of equal or null ids.
+        key = F.pmod(F.xxhash64(*[c for c in ("doc_id", "piece", "start", "ids_crc32") if c in columns], F.lit(level)), F.lit(shards)).alias("shard")
         packed = rest.select(*columns, key).groupBy("shard").applyInPandas(filler(columns, base, capacity), schema)
         packed, base = stored(packed, f"packed{level}"), base + shards
         if shards == 1 or level == levels - 1:

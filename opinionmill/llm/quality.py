@@ -16,6 +16,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from opinionmill.llm.storage import quoted
+
 #: Frequent function words of English, German, French and Spanish.
 STOP_WORDS = (
     "the a an of to and in is that it for was on are as with his they at be this from have or by had not but "
@@ -137,5 +139,5 @@ def judge(docs: DataFrame, rules=RULES, min_words: int = 50, text: str = "text")
 def keep_good(docs: DataFrame, rules=RULES) -> DataFrame:
     """The rows of ``docs`` that pass, with their own columns."""
     own = docs.columns
-    marked = docs.select(F.struct(*own).alias("_row"), F.col("text").alias("text"))
+    marked = docs.select(F.struct(*map(quoted, own)).alias("_row"), F.col("text").alias("text"))
     return judge(marked, rules).where("kept").select("_row.*")

@@ -309,8 +309,8 @@ def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"""
     WITH RECURSIVE {SQL_CRC_STEPS},
     t AS (
-      SELECT doc_id, unnest(regexp_extract_all({SQL_LOWERED}, '[a-zÀ-ÿ]+')) AS w, count(*) AS c
-      FROM documents GROUP BY ALL HAVING length(w) >= 5
+      SELECT doc_id, w, count(*) AS c FROM (SELECT doc_id, unnest(regexp_extract_all({SQL_LOWERED}, '[a-zÀ-ÿ]+')) AS w FROM documents)
+      WHERE length(w) >= 5 GROUP BY doc_id, w
     ),
     b AS (
       SELECT w, c, list_concat(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: ascii(x)::UBIGINT), [58::UBIGINT],

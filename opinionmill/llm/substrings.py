@@ -9,8 +9,9 @@ Of the hash 56 bits are sent and the shard number is log2(shards) more, at least
 for a larger corpus; two given windows that differ share all with probability below 2^-62.
 
 Cases: a null or empty text has no words; a text shorter than a window keeps all its words; words
-are compared unchanged; a null doc_id owns nothing and loses nothing; repeated rows of one doc_id
-must hold the same text and keep it alike; an empty table gives an empty result.
+are compared unchanged; a null doc_id owns nothing and loses nothing; rows of one doc_id, with equal or
+different texts, count as one document towards others and lose nothing to each other; other columns,
+whatever their names, pass unchanged; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -21,9 +22,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from opinionmill.llm import words
+from opinionmill.llm.storage import put_back, set_apart, with_fields
 
 WIDTH = 13
 SHARD_BYTES = 16 << 20
@@ -32,7 +34,7 @@ HASH_BYTES = 7
 _BASE = 0x9E3779B97F4A7C15 | 1
 _ZSTD = pa.Codec("zstd", compression_level=1)
 
-BLOCKS = "shard int, n long, hashes binary, docs binary, places binary"
+BLOCKS = "shard int, n long, hashes binary, docs binary, marks binary, places binary"
 
 
 def powers(base: int, n: int) -> np.ndarray:
@@ -56,6 +58,11 @@ def window_hashes(codes: np.ndarray, width: int) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
+def text_mark() -> Column:
+    """Tells texts of one doc_id apart."""
+    return F.xxhash64("text")
+
+
 def shard_count(docs: DataFrame) -> int:
     """A power of two that follows the bytes of text."""
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -73,27 +80,28 @@ def _loosened(data: bytes, dtype) -> np.ndarray:
     return np.cumsum(np.frombuffer(_ZSTD.decompress(data[8:], size, asbytes=True), dtype), dtype=dtype)
 
 
-def _blocks(doc_ids: np.ndarray, hashes: np.ndarray, doc: np.ndarray, place: np.ndarray, shards: int):
-    """One row per shard: hashes without the shard's own bits, documents and places as differences."""
+def _blocks(doc_ids: np.ndarray, marks: np.ndarray, hashes: np.ndarray, doc: np.ndarray, place: np.ndarray, shards: int):
+    """One row per shard: hashes without the shard's own bits; documents, their texts' marks and places
+    as differences."""
     bits = shards.bit_length() - 1
     shard = (hashes & np.uint64(shards - 1)).astype(np.uint32)
     order = np.argsort(shard, kind="stable")
     edges = np.searchsorted(shard[order], np.arange(shards + 1))
     rest = (hashes[order] >> np.uint64(bits)).view(np.uint8).reshape(-1, 8)[:, :HASH_BYTES]
-    ids, places = doc_ids[doc[order]], place[order]
+    ids, texts, places = doc_ids[doc[order]], marks[doc[order]], place[order]
     for s in range(shards):
         a, b = int(edges[s]), int(edges[s + 1])
         if a < b:
-            yield s, b - a, rest[a:b].tobytes(), _pressed(ids[a:b]), _pressed(places[a:b])
+            yield s, b - a, rest[a:b].tobytes(), _pressed(ids[a:b]), _pressed(texts[a:b]), _pressed(places[a:b])
 
 
-def _unblocked(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _unblocked(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     n = table.column("n").to_pylist()
     raw = np.zeros((sum(n), 8), np.uint8)
     raw[:, :HASH_BYTES] = np.frombuffer(b"".join(table.column("hashes").to_pylist()), np.uint8).reshape(-1, HASH_BYTES)
-    ids = np.concatenate([_loosened(x, np.int64) for x in table.column("docs").to_pylist()])
+    ids, marks = (np.concatenate([_loosened(x, np.int64) for x in table.column(c).to_pylist()]) for c in ("docs", "marks"))
     places = np.concatenate([_loosened(x, np.int32) for x in table.column("places").to_pylist()])
-    return raw.reshape(-1).view(np.uint64), ids, places
+    return raw.reshape(-1).view(np.uint64), ids, marks, places
 
 
 def windows(docs: DataFrame, width: int, shards: int) -> DataFrame:
@@ -106,34 +114,36 @@ def windows(docs: DataFrame, width: int, shards: int) -> DataFrame:
             sizes = np.maximum(np.diff(first) - width + 1, 0)
             at = words.ragged(first[:-1], sizes)
             doc = np.repeat(np.arange(len(sizes)), sizes)
-            rows = list(_blocks(batch.column("doc_id").to_numpy(zero_copy_only=False), h[at], doc, (at - first[doc]).astype(np.int32), shards))
+            rows = list(_blocks(batch.column("doc_id").to_numpy(zero_copy_only=False), batch.column("mark").to_numpy(), h[at], doc, (at - first[doc]).astype(np.int32), shards))
             if rows:
-                kinds = (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
-                names = ["shard", "n", "hashes", "docs", "places"]
+                kinds = (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
+                names = ["shard", "n", "hashes", "docs", "marks", "places"]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
 
     kept = docs.where(F.col("doc_id").isNotNull() & (F.octet_length("text") >= 2 * width - 1))
-    return kept.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, BLOCKS)
+    return kept.select(F.col("doc_id").cast("long"), text_mark().alias("mark"), F.col("text").cast("string")).mapInArrow(run, BLOCKS)
 
 
 def foreign_windows(blocks: DataFrame) -> DataFrame:
-    """Per document and shard the windows (as int32 places) whose words a smaller document has."""
+    """Per document, text and shard the windows (as int32 places) whose words a smaller document has."""
 
     def find(table: pa.Table) -> pa.Table:
-        h, ids, places = _unblocked(table)
+        h, ids, marks, places = _unblocked(table)
         order = np.argsort(h)
-        h, ids, places = h[order], ids[order], places[order]
+        h, ids, marks, places = h[order], ids[order], marks[order], places[order]
         first = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
         owner = np.repeat(np.minimum.reduceat(ids, first), np.diff(np.append(first, len(h))))
         foreign = ids != owner
-        ids, places = ids[foreign], places[foreign]
-        order = np.lexsort((places, ids))
-        ids, places = ids[order], places[order]
-        edges = np.append(np.flatnonzero(np.append(True, ids[1:] != ids[:-1])), len(ids)) if len(ids) else np.zeros(1, np.int64)
+        ids, marks, places = ids[foreign], marks[foreign], places[foreign]
+        order = np.lexsort((places, marks, ids))
+        ids, marks, places = ids[order], marks[order], places[order]
+        new = np.append(True, (ids[1:] != ids[:-1]) | (marks[1:] != marks[:-1]))
+        edges = np.append(np.flatnonzero(new), len(ids)) if len(ids) else np.zeros(1, np.int64)
         parts = [places[a:b].tobytes() for a, b in zip(edges[:-1], edges[1:])]
-        return pa.table({"doc_id": pa.array(ids[edges[:-1]], pa.int64()), "places": pa.array(parts, pa.binary())})
+        firsts = {"doc_id": ids[edges[:-1]], "mark": marks[edges[:-1]]}
+        return pa.table({**{n: pa.array(v, pa.int64()) for n, v in firsts.items()}, "places": pa.array(parts, pa.binary())})
 
-    return blocks.groupBy("shard").applyInArrow(find, "doc_id long, places binary")
+    return blocks.groupBy("shard").applyInArrow(find, "doc_id long, mark long, places binary")
 
 
 def intervals(places: np.ndarray, width: int) -> np.ndarray:
@@ -165,21 +175,22 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, with_text: bool = True)
 
     Columns of ``docs`` with these names are replaced.
     """
-    made = ["n_words", "n_removed", "removed", "kept_sha256", "kept_text", "_places"]
-    docs = docs.drop(*made)
+    docs = docs.drop("n_words", "n_removed", "removed", "kept_sha256", "kept_text")
+    docs = docs if with_text else docs.select("doc_id", "text")
     shards = shard_count(docs)
-    found = foreign_windows(windows(docs, width, shards))
-    found = found.groupBy(F.col("doc_id").alias("_doc")).agg(F.collect_list("places").alias("_places"))
-    joined = docs.join(found, docs["doc_id"].cast("long") == found["_doc"], "left").drop("_doc")
+    found = foreign_windows(windows(docs, width, shards)).groupBy("doc_id", "mark").agg(F.collect_list("places").alias("places"))
+    found = found.withColumnsRenamed({"doc_id": "_doc", "mark": "_mark"})
+    rows = set_apart(docs).withColumns({"id": F.col("row.doc_id").cast("long"), "mark": text_mark()})
+    joined = rows.join(found, (F.col("id") == F.col("_doc")) & (F.col("mark") == F.col("_mark")), "left").select("row", "text", "places")
     fields = "n_words long, n_removed long, removed array<struct<start:long,stop:long>>, kept_sha256 string"
     fields += ", kept_text string" if with_text else ""
-    passed = docs.columns if with_text else ["doc_id"]
-    schema = f"{docs.select(*passed).schema.simpleString()[7:-1]}, {fields}"
+    passed = ["row", "text"] if with_text else ["row"]
+    schema = with_fields(joined.select(*passed).schema, fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in words.sliced(batches, "text"):
             out = {"n_words": [], "n_removed": [], "removed": [], "kept_sha256": [], "kept_text": []}
-            for text, parts in zip(batch.column("text"), batch.column("_places").to_pylist()):
+            for text, parts in zip(batch.column("text"), batch.column("places").to_pylist()):
                 text = text.as_py()
                 raw = (text or "").encode()
                 tokens = raw.split()
@@ -196,4 +207,4 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, with_text: bool = True)
             made = [(n, pa.array(out[n], k)) for n, k in zip(out, kinds) if with_text or n != "kept_text"]
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in passed] + [a for _, a in made], names=[*passed, *(n for n, _ in made)])
 
-    return joined.select(*dict.fromkeys([*passed, "text", "_places"])).mapInArrow(run, schema)
+    return put_back(joined.mapInArrow(run, schema), docs if with_text else docs.select("doc_id"))

@@ -10,7 +10,9 @@ A tenth of them sets the decision point, weighted to the labels' real shares.
 
 Cases: an empty or null text gets the score of no evidence; several labels of one id count as the
 largest; null labels teach nothing; without both labels the score is the share of label 1 (0 if none);
-repeated rows are scored alike; an empty table gives an empty result.
+repeated rows are scored alike; a text of any length is read whole; a row without doc_id teaches nothing
+and is scored like any other; other columns, whatever their names, pass unchanged (those named like a
+result are replaced); an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -22,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from opinionmill.llm import words
+from opinionmill.llm.storage import put_back, set_apart, with_fields
 from opinionmill.operators.relational import top_k_per_group
 
 SIZES = (3, 4, 5)
@@ -140,7 +143,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, learn: Column, label: str
         model = (np.zeros(1, np.float32), float(np.log((share + 1e-9) / (1 - share + 1e-9))))
     shared = docs.sparkSession.sparkContext.broadcast(model)
     docs = docs.drop("score", "predicted")
-    own = docs.columns
+    rows = set_apart(docs)
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         values, bias = shared.value
@@ -152,7 +155,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, learn: Column, label: str
                 counts = np.diff(np.append(begins, len(features)))
                 top, _ = best_windows((np.add.reduceat(values[features].astype(float), begins) / counts)[codes], first)
             score = sigmoid(np.where(np.diff(first) > 0, top, 0.0) + bias)
-            columns = [batch.column(c) for c in own] + [pa.array(score), pa.array((score >= 0.5).astype(np.int32))]
-            yield pa.RecordBatch.from_arrays(columns, names=[*own, "score", "predicted"])
+            columns = [batch.column("row"), batch.column("text"), pa.array(score), pa.array((score >= 0.5).astype(np.int32))]
+            yield pa.RecordBatch.from_arrays(columns, names=["row", "text", "score", "predicted"])
 
-    return docs.mapInArrow(predict, f"{docs.schema.simpleString()[7:-1]}, score double, predicted int")
+    return put_back(rows.mapInArrow(predict, with_fields(rows.schema, "score double, predicted int")), docs)
