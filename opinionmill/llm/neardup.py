@@ -10,7 +10,7 @@
    A document whose region goes on behind its window, or with more alike neighbours than it may
    propose, is marked: its partners may lie among those that the forest left out.
 3. Proposals are confirmed on full shingle sets. A few later rounds propose pairs between different
-   groups from wider windows, which joins most of a large group cheaply.
+   groups of marked documents from wider windows, which joins most of a large group cheaply.
 4. What the forest left out, ``remaining`` finds exactly: a prefix-filter join of all marked documents
    on their rarest shingles gives every pair of different groups that can be alike enough.
 5. Confirmed links become components by alternating star contraction.
@@ -54,6 +54,8 @@ COUNTERS = 1 << 21
 HOT_ROWS = 4096
 PREFIX_ROWS = 1 << 16
 PAIRS_AT_ONCE = 1 << 21
+#: Edges that one task joins up, 16 bytes each.
+EDGES_AT_ONCE = 1 << 20
 
 _SALT = np.random.default_rng(20240229).integers(1, 1 << 63, HASHES, dtype=np.uint64) | np.uint64(1)
 SIGNED = "doc_id long, n_shingles long, set_a long, set_b long, signature binary"
@@ -123,15 +125,16 @@ def forest(representatives: DataFrame, trees: int = TREES) -> DataFrame:
 
 def _neighbours(tree: np.ndarray, signs: np.ndarray, group: np.ndarray, n_best: int, window: int) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of rows to confirm among sorted signatures: per row the ``n_best`` most similar of its
-    window and the best hubs of its region, if alike enough and of different groups. A row paired
-    with itself had no room for all: its region is longer than the window, or its slots were full."""
+    window, or the one most similar if there are more, and the best hubs of its region, if alike enough and
+    of different groups. A row paired with itself had no room for all: its region is longer than the
+    window, or its slots were full."""
     m = len(signs)
     same = (signs[1:, :MIN_DEPTH] == signs[:-1, :MIN_DEPTH]).all(axis=1) & (tree[1:] == tree[:-1])
     region = np.concatenate([[0], np.cumsum(~same)])
     sizes = np.bincount(region)
     best = np.zeros((n_best, m), np.int64)  # agreement << 40 | other row
     least = int(PROPOSE * HASHES)
-    marked = np.zeros(m, bool)
+    marked, crowded = np.zeros(m, bool), np.zeros(m, bool)
     longer = np.flatnonzero(region[window + 1 :] == region[: -window - 1])
     marked[longer] = marked[longer + window + 1] = True
 
@@ -141,7 +144,7 @@ def _neighbours(tree: np.ndarray, signs: np.ndarray, group: np.ndarray, n_best:
             old = best[level, rows]
             best[level, rows] = np.maximum(old, new)
             new = np.minimum(old, new)
-        marked[rows[new > 0]] = True
+        crowded[rows[new > 0]] = True
 
     for offset in range(1, min(window, m - 1) + 1):
         left = np.flatnonzero((region[offset:] == region[:-offset]) & (group[offset:] != group[:-offset]))
@@ -151,6 +154,9 @@ def _neighbours(tree: np.ndarray, signs: np.ndarray, group: np.ndarray, n_best:
         left, agree = left[agree >= least], agree[agree >= least]
         offer(left, left + offset, agree)
         offer(left + offset, left, agree)
+    # A row among more look-alikes than it has slots is left to the exact join: its best one joins it up.
+    marked |= crowded
+    best[1:, crowded] = 0
     pairs = [(np.flatnonzero(best[k]), best[k][best[k] > 0] & ((1 << 40) - 1)) for k in range(n_best)]
     pairs.append((np.flatnonzero(marked), np.flatnonzero(marked)))
     begins = np.cumsum(sizes) - sizes
@@ -347,9 +353,10 @@ def remaining(texts: DataFrame, width: int = WIDTH, similarity: int = SIMILARITY
 
 
 def components(links: DataFrame) -> DataFrame:
-    """``node, component`` (the smallest node reachable) for every node of ``links`` (columns a, b).
+    """``node, component`` (the smallest node reachable) for every node of ``links`` (columns a, b) but that one.
 
-    Alternating large and small stars; every round is two aggregates with partial sums and is stored.
+    Blocks of bounded size become stars by themselves; what one block cannot hold goes on by alternating
+    large and small stars, every round two aggregates with partial sums, and is stored.
     """
 
     def stars(edges: DataFrame, large: bool) -> DataFrame:
@@ -366,14 +373,38 @@ def components(links: DataFrame) -> DataFrame:
     edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
     edges, before = stored(edges, "edges"), None
     while True:
-        mark = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if tuple(mark) == before:
+        n, mark = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        blocks = -(-n // EDGES_AT_ONCE) or 1
+        if (n, mark) == before:
             break
-        before = tuple(mark)
-        edges = stored(stars(stars(edges, True), False), "edges")
+        before = (n, mark)
+        # Edges are dealt by both sides, so that those of a node with very many do not meet in one block.
+        edges = edges.groupBy(F.pmod(F.xxhash64("u", "v"), F.lit(blocks)).alias("block")).applyInArrow(local_stars, "u long, v long")
+        if blocks == 1:
+            edges = stored(edges, "edges")
+            break
+        edges = stored(stars(stars(stored(edges.distinct(), "edges"), True), False), "edges")
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
 
 
+def local_stars(table: pa.Table) -> pa.Table:
+    """The edges' components as stars: every node but the smallest of its component with that one."""
+    nodes, ends = np.unique(np.stack([table.column(c).to_numpy() for c in "uv"]), return_inverse=True)
+    a, b = ends.reshape(2, -1)
+    label = np.arange(len(nodes))
+    while True:
+        least = np.minimum(label[a], label[b])
+        new = label.copy()
+        np.minimum.at(new, label[a], least)
+        np.minimum.at(new, label[b], least)
+        new = new[new]
+        if (new == label).all():
+            break
+        label = new
+    inner = np.flatnonzero(label != np.arange(len(nodes)))
+    return pa.table({"u": nodes[inner], "v": nodes[label[inner]]})
+
+
 def near_duplicates(docs: DataFrame, width: int = WIDTH, similarity: int = SIMILARITY, trees: int = TREES, rounds: int = ROUNDS) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` for every row of ``docs``."""
     signed = stored(signatures(docs, width), "signed")
@@ -389,8 +420,9 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, similarity: int = SIMIL
     texts = stored(texts, "texts")
     found = stored(confirmed(new, texts, width, similarity), "links")
     tried, links, groups = new, found, components(found)
+    # A row that is not marked has offered all that any region holds for it, also to marked ones.
     for _ in range(rounds - 1):
-        rows = sets.join(alike, sets["rep"] == alike["node"], "left_semi")
+        rows = sets.join(marked, sets["rep"] == marked["_marked"], "left_semi")
         rows = rows.join(groups, rows["rep"] == groups["node"], "left").withColumn("group", F.coalesce("component", "rep"))
         new = stored(proposals(forest(rows, trees), FURTHER).where("a <> b").join(tried, ["a", "b"], "left_anti"), "proposals")
         found = stored(confirmed(new, texts, width, similarity), "links")

@@ -166,7 +166,10 @@ def test_near_duplicates_repeated_rows_null_ids_and_empty_table(documents):
     assert neardup.near_duplicates(docs.limit(0)).count() == 0
 
 
-def test_components_of_a_long_path_and_a_star(spark):
+@pytest.mark.parametrize("at_once", [16, neardup.EDGES_AT_ONCE])
+def test_components_of_a_long_path_and_a_star(spark, at_once, monkeypatch):
+    """Both in one block and in many, where stars of single blocks must still be joined."""
+    monkeypatch.setattr(neardup, "EDGES_AT_ONCE", at_once)
     edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 30)]
     found = {r.node: r.component for r in neardup.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert all(found[i] == 0 for i in range(1, 41)) and all(found[100 + i] == 100 for i in range(1, 30))
