@@ -4,8 +4,11 @@ from opinionmill.plans.catalogue import (  # noqa: F401
     contrasting,
     evaluating,
     featuring,
+    growing,
     modelling,
     preparing,
+    probing,
+    relating,
     scoring,
     topicking,
 )

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from opinionmill.operators import features, topics
+from opinionmill.operators import density, features, hierarchy, topics
 from opinionmill.plans import fixtures as fx
 from opinionmill.plans.catalogue.registry import query
 
@@ -164,6 +164,63 @@ def topic_density_grid(spark, d):
     return topics.density(placed, cell=0.1, min_points=4, min_size=20)
 
 
+SQL_FIRST_AXES = """p AS (SELECT vec_id AS doc_id, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y, CAST(embedding[3] AS DOUBLE) AS z
+  FROM embeddings WHERE embedding IS NOT NULL)"""
+
+
+def first_axes(spark, d):
+    """Every document vector cut to three coordinates, which SQL can compute too."""
+    vectors = fx.load(spark, d, "embeddings").where("embedding IS NOT NULL")
+    return vectors.select(F.col("vec_id").alias("doc_id"), F.slice(F.col("embedding").cast("array<double>"), 1, 3).alias("reduced"))
+
+
+@query(
+    "topic_density_exact",
+    f"""WITH RECURSIVE {SQL_FIRST_AXES},
+near AS (SELECT a.doc_id AS a, b.doc_id AS b, (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z) AS d2
+  FROM p a JOIN p b ON (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z) <= 0.06::DOUBLE * 0.06::DOUBLE),
+core AS (SELECT a AS c FROM near GROUP BY a HAVING count(*) >= 6),
+e AS (SELECT a, b FROM near WHERE a IN (FROM core) AND b IN (FROM core)),
+walk(v, m) AS (SELECT c, c FROM core UNION SELECT e.b, w.m FROM walk w JOIN e ON e.a = w.v AND w.m < e.b),
+root AS (SELECT v, min(m) AS m FROM walk GROUP BY v),
+border AS (SELECT a AS v, b AS c FROM near WHERE a NOT IN (FROM core) AND b IN (FROM core) QUALIFY row_number() OVER (PARTITION BY a ORDER BY d2, b) = 1),
+member AS (SELECT v, m FROM root UNION ALL SELECT border.v, m FROM border JOIN root ON border.c = root.v),
+sizes AS (SELECT m, row_number() OVER (ORDER BY count(*) DESC, min(v)) - 1 AS topic FROM member GROUP BY m HAVING count(*) >= 5)
+SELECT doc_id, CAST(coalesce(topic, -1) AS INTEGER) AS topic FROM p LEFT JOIN member ON doc_id = v LEFT JOIN sizes USING (m)""",
+)
+def topic_density_exact(spark, d):
+    """Density clusters of all document vectors over three coordinates."""
+    return density.density_exact(first_axes(spark, d), eps=0.06, min_points=6, min_size=5)
+
+
+@query(
+    "topic_reachability_tree",
+    f"""WITH RECURSIVE {SQL_FIRST_AXES},
+near AS (SELECT a.doc_id AS a, b.doc_id AS b, (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z) AS d2 FROM p a, p b),
+core AS (SELECT a AS c, d2 AS c2 FROM near QUALIFY row_number() OVER (PARTITION BY a ORDER BY d2) = 8),
+reach AS (SELECT a, b, greatest(d2, x.c2, y.c2) AS w2 FROM near JOIN core x ON a = x.c JOIN core y ON b = y.c WHERE a <> b),
+-- One position after the other: the lightest edge from those in the tree to the others.
+grown(step, inside, w2) AS (
+  SELECT 0, [(SELECT min(doc_id) FROM p)], 0.0::DOUBLE
+  UNION ALL
+  SELECT step + 1, list_append(inside, o.b), o.w2 FROM grown g,
+    LATERAL (SELECT arg_min(r.b, (r.w2, r.b)) AS b, min(r.w2) AS w2 FROM reach r WHERE list_contains(g.inside, r.a) AND NOT list_contains(g.inside, r.b)) o
+  WHERE o.b IS NOT NULL
+)
+SELECT round(w2, 12) AS w2, count(*) AS n FROM grown WHERE step > 0 GROUP BY round(w2, 12)""",
+)
+def topic_reachability_tree(spark, d):
+    """The weights of the spanning tree over all document vectors, which do not depend on how ties are broken."""
+    *_, tree, _ = hierarchy.reachability_tree(first_axes(spark, d), min_points=8)
+    return tree.groupBy(F.round("w2", 12).alias("w2")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("topic_hierarchy")
+def topic_hierarchy(spark, d):
+    """Clusters of any density over all document vectors, reduced to three dimensions."""
+    return hierarchy.hierarchical_topics(topics.reduce_dims(fx.vectors(spark, d), 3), min_size=10)
+
+
 @query("lda_topics")
 def lda_topics(spark, d):
     return topics.lda(fx.texts(spark, d), k=8)
