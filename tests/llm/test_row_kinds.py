@@ -27,7 +27,8 @@ def same_extras(rows):
 @pytest.fixture
 def docs(documents):
     rows = [(i, f"{TEXT} only {i} here {'x' * i}", "ab"[i % 2]) for i in range(1, 9)]
-    return dressed(documents(*rows, (None, TEXT, "a"), (None, "another text", None), (3, "a second text of three", "a"), (4, None), (5, "")))
+    clean = " ".join("the" if i % 4 == 0 else f"w{'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10]}" for i in range(100))
+    return dressed(documents(*rows, (20, clean, "a"), (None, TEXT, "a"), (None, "another text", None), (3, "a second text of three", "a"), (4, None), (5, "")))
 
 
 def test_top_k_without_ids(spark):
@@ -80,7 +81,9 @@ def test_mixing_spreads_rows_without_ids(documents):
 
 
 def test_packing_pieces_with_any_columns(documents):
-    pieces = documents((1, "a"), (None, "b"), (None, "c")).select("doc_id", F.lit(0).alias("piece"), F.lit(700).cast("long").alias("length"), F.lit(1).alias("my col-x"))
+    made = documents((1, "a"), (None, "b"), (None, "c"))
+    whole = {"start": F.lit(0).cast("long"), "length": F.lit(700).cast("long"), "ids_crc32": F.crc32("text"), "my col-x": F.lit(1)}
+    pieces = made.select("doc_id", F.lit(0).alias("piece"), *[c.alias(n) for n, c in whole.items()])
     rows = packing.pack(pieces, levels=1).collect()
     assert len({r.sequence_id for r in rows}) == 3 and all(r["my col-x"] == 1 for r in rows)
 
