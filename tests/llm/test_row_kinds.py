@@ -38,6 +38,14 @@ def test_top_k_without_ids(spark):
     assert got == [(50, 1, 2, 4), (50, 2, 1, 3)]
 
 
+def test_language_of_texts_after_a_cut_batch(spark, documents):
+    """A batch of more than ``SLICE_BYTES`` is cut; texts behind the cut keep their words."""
+    docs = documents((0, "x" * 999 + ("y" * 999 + " ") * 9000), *((i, f"{i} {TEXT}") for i in range(1, 6))).coalesce(1)
+    found = langid.label_languages(docs, F.col("doc_id") > 0, per_lang=20).select("doc_id", "lang_pred", "score").collect()
+    assert {r.doc_id: r.lang_pred for r in found} == {i: "en" for i in range(6)}
+    assert {r.score for r in found if r.doc_id} == {1.0}
+
+
 def test_language_and_toxicity_keep_all_columns(spark, docs):
     found = langid.label_languages(docs, F.lit(True), per_lang=20)
     assert found.columns == [*docs.columns, "lang_pred", "score"]
