@@ -1,11 +1,12 @@
 """Null ids, several texts of one id and columns of any name, for every operator and pipeline stage."""
 
 import corpus_pipeline
+import numpy as np
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from opinionmill.llm import langid, mixing, neardup, packing, substrings, topk, toxicity
+from opinionmill.llm import langid, mixing, neardup, packing, queries, substrings, topk, toxicity
 
 from test_text_operators import plain_removal
 
@@ -38,6 +39,33 @@ def test_top_k_without_ids(spark):
     assert got == [(50, 1, 2, 4), (50, 2, 1, 3)]
 
 
+def test_top_k_query_takes_every_row_and_whole_sums(spark, tmp_path):
+    """As the SQL twin: a repeated id has each of its rows, and sums beyond 2 ** 53 are exact."""
+    big = float(1 << 20)
+    rows = [(0, [big, big + 1, 3.0]), (1, [big, big, 1.0]), (1, [big, big, 2.0]), (2, [big, big - 1, 0.0]), (3, [big, big, 1.0]), (3, [big, big, 1.0])]
+    rows += [(50, [1.0, 0.0, 0.0]), (50, [-1.0, 0.0, 0.0]), *((i, [big, big, 1.0 - i / 256]) for i in range(4, 9))]
+    spark.createDataFrame(rows, "vec_id long, embedding array<double>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    found = queries.op1_topk(spark, str(tmp_path)).orderBy("query_id", "rank").collect()
+    whole = [(i, [int(256 * x) for x in v]) for i, v in rows]
+    expected = []
+    for query in (0, 50):
+        pairs = [(-sum(a * b for a, b in zip(q, v)), i) for j, q in whole if j == query for i, v in whole if i != query]
+        expected += [(query, r, i, -s) for r, (s, i) in enumerate(sorted(pairs)[:5], 1)]
+    assert [(r.query_id, r["rank"], r.vec_id, r.score) for r in found] == expected
+
+
+def test_top_k_thresholds_allow_for_rounding(spark):
+    rng = np.random.default_rng(5)
+    base = rng.integers(1 << 24, 1 << 25, 64)
+    rows = [(i, (base + rng.integers(0, 2, 64)).tolist()) for i in range(400)]
+    vectors = spark.createDataFrame(rows, "id long, v array<long>")
+    found = topk.top_k(vectors, F.col("id") % 50 == 0).orderBy("query_id", "rank").collect()
+    expected = []
+    for i, q in rows[::50]:
+        expected += [(i, j, -s) for s, j in sorted((-sum(a * b for a, b in zip(q, v)), j) for j, v in rows if j != i)[:5]]
+    assert [(r.query_id, r.vec_id, r.score) for r in found] == expected
+
+
 def test_language_of_texts_after_a_cut_batch(spark, documents):
     """A batch of more than ``SLICE_BYTES`` is cut; texts behind the cut keep their words."""
     docs = documents((0, "x" * 999 + ("y" * 999 + " ") * 9000), *((i, f"{i} {TEXT}") for i in range(1, 6))).coalesce(1)
