@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from opinionmill.functions.text import fold_accents, ngrams, whitespace_tokens, word_tokens
 from opinionmill.functions.vectors import argmax, cosine, norm, unit
 from opinionmill.operators import features, sampling
+from opinionmill.operators.boosting import entries
 from opinionmill.operators.relational import lookup_join
 from opinionmill.plans import fixtures as fx
 from opinionmill.plans.catalogue.preparing import sql_split
@@ -120,9 +120,8 @@ def tfidf_vectors(spark, d):
     vocab = features.fit_vocabulary(docs.where("split = 'train'"))
     test = docs.where("split = 'test'")
     vectors = features.to_vectors(features.tfidf(test, vocab), vocab.count(), test)
-    dense = vectors.select("doc_id", vector_to_array("features").alias("v"))
-    places = F.filter(F.transform("v", lambda x, i: F.when(x != 0, i)), lambda i: i.isNotNull())
-    return dense.select("doc_id", places.alias("p"), norm("v").alias("length")).select(
+    found = vectors.select("doc_id", entries("features").alias("e"))
+    return found.select("doc_id", F.col("e.feature").alias("p"), norm("e.value").alias("length")).select(
         "doc_id",
         F.size("p").cast("long").alias("n_terms"),
         F.aggregate("p", F.lit(0).cast("long"), lambda s, i: s + i).alias("id_sum"),
