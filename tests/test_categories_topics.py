@@ -80,6 +80,16 @@ def test_components_of_a_long_chain(spark):
     assert set(rows.values()) == {"000", "zzz"} and rows["200"] == "000"
 
 
+@pytest.mark.parametrize("kind", ["string", "long"])
+def test_components_of_few_edges_need_no_rounds(spark, kind):
+    links = [(i, i + 1) for i in range(30) if i % 5] + [(7, 26), (90, 91)]
+    edges = spark.createDataFrame([e for a, b in links for e in ((a, b), (b, a))], "a long, b long").select(*[F.col(c).cast(kind).alias(c) for c in "ab"])
+    nodes = spark.createDataFrame([(i,) for i in [*range(31), 90, 91, 95]], "node long").select(F.col("node").cast(kind).alias("node"))
+    found, rounds = (sorted(map(tuple, topics.connected_components(edges, nodes, **k).collect())) for k in ({"max_rounds": 0}, {"at_once": 0}))
+    assert found == rounds and len(found) == 34
+    assert topics.connected_components(edges.limit(0), nodes, max_rounds=0).where("node <> component").isEmpty()
+
+
 def test_topic_words_and_noise(spark):
     docs = spark.createDataFrame(
         [(0, -1, "noise it's"), (1, 0, "apple apple pear"), (2, 0, "apple"), (3, 1, "car pear car")], "doc_id long, topic int, review string"
