@@ -9,7 +9,8 @@ import pytest
 from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.sql import functions as F, types as T
 
-from opinionmill.operators import embedding, expansion, margin, perturbation
+from opinionmill.operators import embedding, expansion, margin, models, perturbation
+from opinionmill.session import checkpoint
 
 
 def test_eigenpairs_of_the_pmi_matrix(spark):
@@ -100,3 +101,21 @@ def test_sign_test(spark):
 
     for r in table.collect():
         assert r.p == pytest.approx(exact(r.up, r.down), rel=1e-9)
+
+
+def test_linear_fits_run_in_one_task_per_core(spark):
+    """Every task of a linear fit sends a vector as long as the vocabulary: many small ones multiply it."""
+    rng = random.Random(4)
+    rows = [(i, i % 2, [float(i % 2) + rng.random(), rng.random()]) for i in range(400)]
+    data = spark.createDataFrame(rows, "doc_id long, label int, x array<double>").repartition(64)
+    data = checkpoint(data.select("doc_id", F.col("label").cast("double").alias("label"), models.array_to_vector("x").alias("features")))
+    context = spark.sparkContext
+    for name, fit in (("logreg", models.fit_logreg), ("svc", models.fit_svc)):
+        context.setJobGroup(f"fit-{name}", name)
+        fit(data, max_iter=8)
+        status = context.statusTracker()
+        stages = [status.getStageInfo(i) for j in status.getJobIdsForGroup(f"fit-{name}") for i in status.getJobInfo(j).stageIds]
+        context.setLocalProperty("spark.jobGroup.id", None)
+        wide = [s.numTasks for s in stages if s is not None and s.numTasks > context.defaultParallelism]
+        # Only counting the rows and looking at the first one may use all stored partitions.
+        assert len(stages) > 4 and len(wide) <= 2, (name, wide)
