@@ -110,7 +110,7 @@ def test_linear_fits_run_in_one_task_per_core(spark):
     data = spark.createDataFrame(rows, "doc_id long, label int, x array<double>").repartition(64)
     data = checkpoint(data.select("doc_id", F.col("label").cast("double").alias("label"), models.array_to_vector("x").alias("features")))
     context = spark.sparkContext
-    for name, fit in (("logreg", models.fit_logreg), ("svc", models.fit_svc)):
+    for name, fit in (("logreg", models.fit_logreg), ("svc", models.fit_svc), ("hinge", lambda t, max_iter: margin.fit_squared_hinge(t, max_iter=max_iter))):
         context.setJobGroup(f"fit-{name}", name)
         fit(data, max_iter=8)
         status = context.statusTracker()
