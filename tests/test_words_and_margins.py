@@ -46,6 +46,34 @@ def test_eigenpairs_of_the_pmi_matrix(spark):
     assert lengths[99] == lengths[98] == 0 and all(n == pytest.approx(1) or n == 0 for n in lengths.values()) and len(lengths) == 62
 
 
+def test_products_meet_in_blocks_of_the_matrix(spark, monkeypatch):
+    """A block of the matrix is one row, whatever number of entries it has; blocks and pieces add up to the whole product."""
+    for name, n in (("CHUNK", 4), ("HIGH", 2), ("WIDE", 3), ("PIECE", 20)):
+        monkeypatch.setattr(embedding, name, n)
+    rng = np.random.default_rng(5)
+    dense = rng.random((30, 30)) * (rng.random((30, 30)) < 0.4)
+    # Three groups of words, so that the three largest eigenvalues stand out.
+    dense = np.triu(dense) + np.triu(dense, 1).T + np.kron(np.diag([5.0, 4.0, 3.0]), np.ones((10, 10)))
+    names = [f"w{i:02}" for i in range(30)]
+    entries = [(names[i], names[j], float(dense[i, j])) for i, j in zip(*np.nonzero(dense))]
+    matrix = spark.createDataFrame(entries, "a string, b string, pmi double").repartition(5)
+    words = spark.createDataFrame([(w, i) for i, w in enumerate(names)], "word string, id long")
+    packed, (high, wide, pieces) = embedding.blocks(matrix, words)
+    assert (high, wide) == (4, 3) and pieces > 1 and packed.count() <= high * wide * pieces < len(entries)
+    start = np.zeros((32, 3))
+    start[:30] = rng.random((30, 3))
+    rows = spark.createDataFrame([(c, start[4 * c : 4 * c + 4].tobytes()) for c in range(8)], "chunk int, v binary")
+    found = {r.chunk: np.frombuffer(r.v).reshape(4, 3) for r in embedding.times(packed, (high, wide, pieces), rows, 3).collect()}
+    got = np.concatenate([found.get(c, np.zeros((4, 3))) for c in range(8)])
+    assert np.allclose(got[:30], dense @ start[:30]) and not got[30:].any()
+    vectors, values = embedding.word_vectors(matrix, 3)
+    exact = np.linalg.eigvalsh(dense)
+    exact = exact[np.argsort(-np.abs(exact))][:3]
+    assert np.allclose(values, exact, atol=1e-6)
+    v = np.stack([{r.word: np.array(r.v) for r in vectors.collect()}[w] for w in names])
+    assert np.allclose(dense @ v, v * exact, atol=1e-3)
+
+
 def test_walk_settles_where_the_equations_hold(spark):
     edges = [("a", "b", 2.0), ("b", "a", 2.0), ("b", "c", 1.0), ("c", "b", 1.0), ("c", "d", 3.0), ("d", "c", 3.0), ("a", "a", 9.0)]
     graph = expansion.relation_graph(spark.createDataFrame(edges, "a string, b string, pmi double"), 2)
