@@ -7,13 +7,13 @@ texts are never shuffled. Lexicons are arguments; none is bundled.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from opinionmill.functions.text import count_char, whitespace_tokens, word_count
-from opinionmill.operators.relational import literal_table, lookup_join, settled
+from opinionmill.operators.relational import known_words, literal_table, lookup_join, settled
 
 # The published constants of the rule-based polarity model (Hutto & Gilbert 2014).
 BOOST = 0.293
@@ -58,8 +58,11 @@ IDIOMS = {
 # The punctuation that may sit before or after a bare word.
 EDGE_PUNCTUATION = r"""[.!?,;:\-'"]|!!!?|\?\?\??|\?!\?|!\?!|\?!\?!|!\?!\?"""
 
-_BARE_WORD = r"[^!-/:-@\[-`{-~]{2,}"
-_EDGE = rf"^(?:{EDGE_PUNCTUATION})({_BARE_WORD})$|^({_BARE_WORD})(?:{EDGE_PUNCTUATION})$"
+_BARE_WORD = r"[^\s\x1C-\x1F!-/:-@\[-`{-~]{2,}+"
+_EDGE = rf"(?:{EDGE_PUNCTUATION})({_BARE_WORD})|({_BARE_WORD})(?:{EDGE_PUNCTUATION})"
+# Tokens are matched inside their text: one match over it is much cheaper than one per token.
+_EDGES_IN_TEXT = rf"(?U)(?<![^\s\x1C-\x1F])(?:{_EDGE})(?![^\s\x1C-\x1F])"
+_EDGE = rf"^(?:{_EDGE})$"
 MODIFIER_SCHEMA = "word string, booster double, negator boolean"
 
 
@@ -72,8 +75,8 @@ def default_modifiers(spark: SparkSession) -> DataFrame:
 
 def polarity_tokens(text: Column | str) -> Column:
     """White-space tokens of two or more characters, one piece of edge punctuation removed."""
-    long_enough = F.filter(whitespace_tokens(text), lambda t: F.char_length(t) > 1)
-    return F.transform(long_enough, lambda t: F.lower(F.regexp_replace(t, _EDGE, "$1$2")))
+    edges_off = F.regexp_replace(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")), _EDGES_IN_TEXT, "$1$2")
+    return F.transform(F.filter(whitespace_tokens(edges_off), lambda t: F.char_length(t) > 1), F.lower)
 
 
 def _in_context(hits: DataFrame, idioms: Mapping[str, float]) -> DataFrame:
@@ -121,6 +124,11 @@ def _idiom_check(value: Column, p: Mapping[int, Column], idioms: Mapping[str, fl
     return value - F.when(pair, BOOST).otherwise(0.0)
 
 
+def _places(words: str, entry: Callable[[Column, Column], Column], keep: Callable[[Column], Column]) -> Column:
+    """``entry(word, place)`` of the words to ``keep``; nothing is built for the others."""
+    return F.filter(F.transform(words, lambda word, i: F.when(keep(word), entry(word, i))), lambda e: e.isNotNull())
+
+
 def polarity(
     df: DataFrame,
     valence: DataFrame,
@@ -152,11 +160,14 @@ def polarity(
     # Every text also yields one empty word, which the lookup lists with valence 0. It keeps texts
     # without any hit, so counts and scores come from one pass over the text.
     marker = entry(F.lit(-1), F.lit(""), dict.fromkeys((1, 2, 3), none), dict.fromkeys((1, 2), none))
-    occurrences = F.transform(
+    # Words of a lexicon that is not too long are told apart here, so that only hits become rows.
+    listed_words = known_words(valence, "word")
+    occurrences = _places(
         "_t",
         lambda word, i: entry(
             i, word, {k: F.get("_t", i - k) for k in (1, 2, 3)}, {k: F.get("_t", i + k) for k in (1, 2)}
         ),
+        lambda word: F.lit(True) if listed_words is None else word.isin(listed_words),
     )
     words = tokenised.select(
         key,
@@ -253,13 +264,15 @@ def valence_sum(
     pieces = df.select(
         key, word_count(text, "ws").alias("_words"), F.regexp_extract_all(lowered, F.lit(_PIECE), F.lit(0)).alias("_p")
     )
-    window = F.transform(
+    # Separators open no entry, nor do words that no entry starts with; they never become rows. Pieces are got by place:
+    # a slice would copy the whole text's pieces for each of them. One marker per text keeps texts without any match.
+    opening_words = known_words(openings, "word")
+    is_word = lambda word: word.rlike(r"[\p{L}\p{N}_]")
+    window = _places(
         "_p",
-        lambda word, i: F.struct(i.alias("at"), word.alias("word"), F.slice("_p", i + 1, F.lit(longest)).alias("ahead")),
+        lambda word, i: F.struct(i.alias("at"), word.alias("word"), F.array(*[F.get("_p", i + k) for k in range(longest)]).alias("ahead")),
+        lambda word: is_word(word) if opening_words is None else word.isin(opening_words) & is_word(word),
     )
-    # Separators open no entry; dropping them here halves the exploded rows. One marker per text
-    # keeps texts without any match.
-    window = F.filter(window, lambda e: e["word"].rlike(r"[\p{L}\p{N}_]"))
     marker = F.struct(F.lit(-1).alias("at"), F.lit("").alias("word"), F.array().cast("array<string>").alias("ahead"))
     places = pieces.select(key, "_words", F.inline(F.concat(F.array(marker), window)))
     found = lookup_join(places, openings, "word", "left")

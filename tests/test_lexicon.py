@@ -3,7 +3,7 @@ import re
 
 import pytest
 
-from opinionmill.operators import lexicon
+from opinionmill.operators import lexicon, relational
 
 VALENCE = {"good": 1.9, "great": 3.1, "bad": -2.5, "love": 3.2, "hate": -2.7, "kind": 2.4, "death": -2.9, "like": 1.5}
 
@@ -125,3 +125,31 @@ def test_scoring_shuffles_no_text(spark):
     valence = spark.createDataFrame(list(VALENCE.items()), "word string, valence double")
     plan = lexicon.polarity(frame, valence)._jdf.queryExecution().executedPlan().toString()
     assert "BatchEvalPython" not in plan and "CartesianProduct" not in plan and "Window" not in plan
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().analyzed().toString()
+
+
+def test_words_outside_the_lexicon_make_no_rows(spark, monkeypatch):
+    texts = ["a good thing, not bad!", "(good) 'good' good... :good", "nothing here", "", None, "x " * 3000 + "not  good"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, review string")
+    valence = spark.createDataFrame(list(VALENCE.items()), "word string, valence double")
+    phrases = spark.createDataFrame([("good", 3), ("not good", -2), ("thing", 1)], "phrase string, score int")
+    found = {}
+    for most in (lexicon.known_words.__defaults__[0], 1):
+        monkeypatch.setattr(lexicon, "known_words", lambda table, word, most=most: relational.known_words(table, word, most))
+        parts = lexicon.polarity(df, valence), lexicon.valence_sum(df, phrases)
+        found[most] = [sorted(map(tuple, part.collect())) for part in parts]
+        if most > 1:
+            assert "IN (" in plan_of(parts[0]) and "IN (" in plan_of(parts[1])
+        # A slice of a stored array copies the whole array for every word.
+        assert "slice(_p" not in plan_of(parts[1])
+    assert len(set(map(str, found.values()))) == 1
+
+
+def test_edges_of_tokens_inside_a_text(spark):
+    row = spark.createDataFrame([("Good, !!bad 'x' 'ok a. :) ...hm?!? he's ok?? fine?!? last\x1cEND.",)], "t string")
+    assert row.select(lexicon.polarity_tokens("t")).first()[0] == [
+        "good", "bad", "'x'", "ok", "a.", ":)", "...hm?!?", "he's", "ok", "fine", "last", "end"
+    ]
