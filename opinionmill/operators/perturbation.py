@@ -10,7 +10,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from opinionmill.functions.text import whitespace_tokens
+from opinionmill.functions.text import bind, whitespace_tokens
 from opinionmill.session import SEED
 
 KINDS = ("negation", "typo", "swap", "drop")
@@ -36,7 +36,11 @@ def changed(kind: str, share: int, seed: int = SEED, text: str = "review", key:
     ``negation`` puts "not" before a word, ``typo`` swaps two letters inside a word of four letters or more, ``swap``
     exchanges the two words of a pair (first and second, third and fourth, ...), ``drop`` leaves a word out.
     """
-    tokens = whitespace_tokens(text)
+    return bind(whitespace_tokens(text), lambda tokens: _changed(kind, tokens, share, seed, key))
+
+
+def _changed(kind: str, tokens: Column, share: int, seed: int, key: str) -> Column:
+    """``tokens`` must be bound: an expression named inside a lambda would cut the text anew for every word."""
     hit = lambda place: F.pmod(_draw(seed, key, kind, place), F.lit(100)) < share
     if kind == "negation":
         parts = F.transform(tokens, lambda t, i: F.when(hit(i), F.concat(F.lit("not "), t)).otherwise(t))
@@ -58,8 +62,8 @@ def perturbed(
     docs: DataFrame, kinds: Sequence[str] = KINDS, share: int = 10, seed: int = SEED, text: str = "review", key: str = "doc_id"
 ) -> DataFrame:
     """``(doc_id, kind, copy, text)`` of every row and kind; ``copy`` names the pair as ``doc_id:kind``."""
-    each = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), changed(k, share, seed, text, key).alias("text")) for k in kinds]))
-    return docs.select(key, each.alias("_e")).select(
+    copies = lambda tokens: F.array(*[F.struct(F.lit(k).alias("kind"), _changed(k, tokens, share, seed, key).alias("text")) for k in kinds])
+    return docs.select(key, F.explode(bind(whitespace_tokens(text), copies)).alias("_e")).select(
         key, "_e.kind", F.concat_ws(":", F.col(key).cast("string"), "_e.kind").alias("copy"), F.col("_e.text").alias(text)
     )
 

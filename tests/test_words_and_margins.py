@@ -100,6 +100,13 @@ def test_squared_hinge_is_stationary_and_ranks(spark):
     assert margin.fit_squared_hinge(data.limit(0)).weights.tolist() == []
 
 
+def test_perturbations_cut_a_text_into_words_once(spark):
+    docs = spark.createDataFrame([(1, "a b c")], "doc_id long, review string")
+    for frame in (docs.select(perturbation.changed("swap", 30)), perturbation.perturbed(docs)):
+        # Named inside a lambda, the cut would be made anew for every word.
+        assert frame._jdf.queryExecution().analyzed().toString().count("split(") == 1
+
+
 def test_perturbations_are_the_same_for_any_order(spark):
     texts = [(i, " ".join(f"word{j}é" for j in range(i % 23))) for i in range(60)] + [(100, None), (101, "  a  b ")]
     docs = spark.createDataFrame(texts, "doc_id long, review string")
