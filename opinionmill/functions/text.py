@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 from functools import lru_cache
 
 from pyspark.sql import Column, functions as F
@@ -30,7 +30,9 @@ def raw_text(title: Column | str, text: Column | str) -> Column:
 def clean_text(value: Column | str) -> Column:
     """Lower case, drop URLs, decode ``&quot;`` then ``&amp;``, collapse white space."""
     lowered = F.lower(F.coalesce(_col(value), F.lit("")))
-    no_urls = F.regexp_replace(lowered, URL_PATTERN, " ")
+    # Every match of the pattern holds one of these, which is cheaper to look for.
+    may_match = lowered.contains("://") | lowered.contains("www.")
+    no_urls = F.when(may_match, F.regexp_replace(lowered, URL_PATTERN, " ")).otherwise(lowered)
     decoded = F.replace(F.replace(no_urls, F.lit("&quot;"), F.lit('"')), F.lit("&amp;"), F.lit("&"))
     return F.trim(F.regexp_replace(decoded, SPACE_PATTERN, " "))
 
@@ -74,6 +76,14 @@ def _accent_tables() -> tuple[str, str, dict[str, str]]:
     return "".join(source), "".join(target), expanding
 
 
+def _ranges(chars: Iterable[str]) -> str:
+    """A regular expression for one of ``chars``, neighbours as ranges: each part of a class is tried on every letter."""
+    codes = sorted(map(ord, chars))
+    starts = [c for c in codes if c - 1 not in codes]
+    ends = [c for c in codes if c + 1 not in codes]
+    return "[" + "".join(f"{chr(a)}-{chr(b)}" for a, b in zip(starts, ends)) + "]"
+
+
 def fold_accents(value: Column | str) -> Column:
     """Strip accents by compatibility decomposition, for every letter of the basic plane."""
     value = _col(value)
@@ -81,8 +91,7 @@ def fold_accents(value: Column | str) -> Column:
     spelled_out = value
     for char, plain in expanding.items():
         spelled_out = F.replace(spelled_out, F.lit(char), F.lit(plain))
-    ligatures = "[" + "".join(expanding) + "]"
-    single = F.when(value.rlike(ligatures), spelled_out).otherwise(value)
+    single = F.when(value.rlike(_ranges(expanding)), spelled_out).otherwise(value)
     return F.regexp_replace(F.translate(single, source, target), r"\p{Mn}+", "")
 
 
