@@ -264,8 +264,8 @@ def valence_sum(
     pieces = df.select(
         key, word_count(text, "ws").alias("_words"), F.regexp_extract_all(lowered, F.lit(_PIECE), F.lit(0)).alias("_p")
     )
-    # Separators open no entry, nor do words that no entry starts with; they never become rows. Pieces are got by place:
-    # a slice would copy the whole text's pieces for each of them. One marker per text keeps texts without any match.
+    # Separators open no entry, nor do words that no entry starts with; they never become rows. One marker per text
+    # keeps texts without any match.
     opening_words = known_words(openings, "word")
     is_word = lambda word: word.rlike(r"[\p{L}\p{N}_]")
     window = _places(
