@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from opinionmill.functions.text import ngrams, word_tokens
 from opinionmill.functions.vectors import cosine
 from opinionmill.operators.features import bag_of_words, embed, to_vectors
-from opinionmill.operators.relational import as_small, fits, lookup_join, settled, top_k_per_group
+from opinionmill.operators.relational import as_small, exploded, fits, lookup_join, settled, top_k_per_group
 from opinionmill.session import SEED, checkpoint
 
 NOISE = -1
@@ -327,13 +327,19 @@ def rake(df: DataFrame, stop_words: Sequence[str] | None = None, k: int = 50, te
     stop_words = StopWordsRemover.loadDefaultStopWords("english") if stop_words is None else stop_words
     marked = F.transform(word_tokens(text, fold=False), lambda t: F.when(t.isin(list(stop_words)), F.lit("|")).otherwise(t))
     runs = F.transform(F.split(F.array_join(marked, " "), r"\|"), lambda p: F.trim(p))
-    phrases = df.select(F.explode(F.filter(runs, lambda p: p != "")).alias("phrase")).groupBy("phrase")
+    phrases = exploded(df, [], F.filter(runs, lambda p: p != ""), "phrase").groupBy("phrase")
     phrases = checkpoint(phrases.agg(F.count(F.lit(1)).alias("n")))
-    words = phrases.select("phrase", "n", F.explode(F.split("phrase", " ")).alias("word"), F.size(F.split("phrase", " ")).alias("_len"))
-    scores = words.groupBy("word").agg((F.sum(F.col("n") * F.col("_len")) / F.sum("n")).alias("_score"))
-    scored = lookup_join(words, scores, "word", "inner").groupBy("phrase").agg(F.first("n").alias("n"), F.sum("_score").alias("_s"))
-    scored = scored.select("phrase", "n", F.round("_s", 6).alias("score"))
-    return scored.orderBy(F.desc("score"), F.desc("n"), "phrase").limit(k).select(
+    # Stored rows keep their places, so a number can stand for the phrase wherever only its words matter.
+    phrases = phrases.withColumn("_id", F.monotonically_increasing_id())
+    parts = F.split("phrase", " ")
+    weighed = phrases.select(F.explode(parts).alias("word"), "n", F.size(parts).alias("_len")).groupBy("word")
+    scores = checkpoint(weighed.agg((F.sum(F.col("n") * F.col("_len")) / F.sum("n")).alias("_score")))
+    scored = lookup_join(phrases.select("_id", F.explode(parts).alias("word")), scores, "word", "inner")
+    scored = checkpoint(scored.groupBy("_id").agg(F.round(F.sum("_score"), 6).alias("score")))
+    # Only phrases as good as the k-th best meet their texts again; ties are all kept until they are ranked.
+    least = scored.orderBy(F.desc("score")).limit(k).agg(F.min("score")).first()[0]
+    best = phrases.join(scored.where(F.col("score") >= F.lit(least)), "_id").select("phrase", "n", "score")
+    return best.orderBy(F.desc("score"), F.desc("n"), "phrase").limit(k).select(
         F.row_number().over(Window.orderBy(F.desc("score"), F.desc("n"), "phrase")).alias("rank"), "phrase", "n", "score"
     )
 

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from opinionmill.operators import categories, features, models, topics
+from opinionmill.operators import categories, features, models, topics, relational
 
 
 def test_category_scores_and_hooks(spark):
@@ -143,3 +143,13 @@ def test_classifiers_separate_an_easy_corpus(spark):
     dense = docs.select("doc_id", F.col("label").cast("double").alias("label")).join(features.embed(docs, model), "doc_id")
     best, table = models.fit_mlp(dense, dense, budgets=(5, 60), hidden=(6,))
     assert table.count() == 2 and best.stages[-1].getMaxIter() in (5, 60)
+
+
+def test_rake_deals_numbers_not_phrases(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "red cat the big red dog of cat"), (2, "big dog and big dog the big red dog"), (3, None)], "doc_id long, review string")
+    met = []
+    monkeypatch.setattr(topics, "lookup_join", lambda big, lookup, *a, **k: met.append(big.columns) or relational.lookup_join(big, lookup, "word", "inner", 0))
+    found = [tuple(r) for r in topics.rake(docs, ("the", "of", "and"), 3).collect()]
+    # red: (2 + 2 * 3) / 3, cat: (2 + 1) / 2, big and dog: (2 * 3 + 2 * 2) / 4
+    assert found == [(1, "big red dog", 2, 7.666667), (2, "big dog", 2, 5.0), (3, "red cat", 1, 4.166667)]
+    assert met == [["_id", "word"]]
