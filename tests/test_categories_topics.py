@@ -153,3 +153,17 @@ def test_rake_deals_numbers_not_phrases(spark, monkeypatch):
     # red: (2 + 2 * 3) / 3, cat: (2 + 1) / 2, big and dog: (2 * 3 + 2 * 2) / 4
     assert found == [(1, "big red dog", 2, 7.666667), (2, "big dog", 2, 5.0), (3, "red cat", 1, 4.166667)]
     assert met == [["_id", "word"]]
+
+
+def test_candidates_are_not_dealt_by_topic(spark, monkeypatch):
+    texts = spark.createDataFrame([(1, 0, "red cat"), (2, 0, "big dog"), (3, 1, "cat")], "doc_id long, topic int, text string")
+
+    def embed(df, model, text, key):
+        return df.select(key, F.array(F.length(text).cast("double"), F.lit(1.0)).alias("embedding"))
+
+    met = []
+    monkeypatch.setattr(topics, "embed", embed)
+    monkeypatch.setattr(topics, "lookup_join", lambda big, lookup, on, how, small=False: met.append((on, small)) or relational.lookup_join(big, lookup, on, how, small=small))
+    found = topics.keyphrases(texts, None, 2)
+    assert {(r.topic, r["rank"], r.term) for r in found.collect()} == {(0, 1, "big dog"), (0, 2, "red cat"), (1, 1, "cat")}
+    assert met == [("topic", True)]
