@@ -36,7 +36,7 @@ def changed(kind: str, share: int, seed: int = SEED, text: str = "review", key:
     ``negation`` puts "not" before a word, ``typo`` swaps two letters inside a word of four letters or more, ``swap``
     exchanges the two words of a pair (first and second, third and fourth, ...), ``drop`` leaves a word out.
     """
-    return bind(whitespace_tokens(text), lambda tokens: _changed(kind, tokens, share, seed, key))
+    return bind(whitespace_tokens(text), lambda tokens: _changed(kind, tokens, share, seed, key)).alias(text)
 
 
 def _changed(kind: str, tokens: Column, share: int, seed: int, key: str) -> Column:
